@@ -17,9 +17,13 @@ whole text at once.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Characters of a leaf, and of the longest text that is encoded in one piece.
-LEAF = 32_768
+LEAF = 65_536
 #: Characters that the splitter may look ahead: more than the longest special token (13) or contraction (3).
 MARGIN = 16
 
@@ -69,6 +73,75 @@ def _byte_chars(name: str) -> dict[int, str]:
     return of
 
 
+#: The splitting pattern of byte-level BPE vocabularies of this kind; a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct words whose ids a process keeps (about 250 bytes each) before it starts anew; no result depends on it.
+KEPT_WORDS = 300_000
+
+
+class Encoder:
+    """The library's encoding, with the ids of words kept: the words of a text are encoded independently of each other, so
+    each distinct one goes to the library once. Tokenizers that split otherwise, and texts with code points that are
+    unassigned in this Python's Unicode tables (which the library may know as letters or not), go to it whole."""
+
+    def __init__(self, name: str):
+        import regex
+
+        with open(tokenizer_path(name), encoding="utf-8") as f:
+            spec = json.load(f)
+        split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        self.library = load(name)
+        self.plain = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not spec["normalizer"] and not spec["post_processor"]
+        self.plain = self.plain and not spec["model"].get("dropout") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.special = {x["content"]: (x["id"],) for x in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if added else None
+        self.find = regex.compile(PATTERN).findall
+        self.known: dict[str, tuple[int, ...] | None] = {}
+
+    def words(self, text: str) -> list[str] | None:
+        """The words that text is split into, all of them known; None: the library has to split it."""
+        if not self.plain:
+            return None
+        if self.split and any(x in text for x in self.special):
+            words = [w for part in self.split(text) for w in ([part] if part in self.special else self.find(part))]
+        else:
+            words = self.find(text)
+        known = self.known
+        if missing := set(words).difference(known):
+            if len(known) > KEPT_WORDS:
+                known.clear()
+                missing = set(words)
+            new = list(missing.difference(self.special))
+            known.update(self.special)
+            known.update((w, tuple(e.ids)) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            known.update((w, None) for w in new if not w.isascii() and any(unicodedata.category(c) == "Cn" for c in w))
+        return None if any(known[w] is None for w in missing) or (not text.isascii() and None in map(known.__getitem__, words)) else words
+
+    def ids(self, text: str) -> list[int]:
+        words = self.words(text)
+        if words is None:
+            return self.library.encode(text, add_special_tokens=False).ids
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+
+    def piece(self, text: str) -> Piece:
+        words = self.words(text)
+        if words is None:
+            return _true_starts(text, self.library.encode(text, add_special_tokens=False))
+        starts, tokens, ids = [], [], []
+        at = 0
+        for w in words:
+            starts.append(at)
+            tokens.append(len(ids))
+            ids += self.known[w]
+            at += len(w)
+        return Piece(text, ids, starts, tokens)
+
+
+@lru_cache(2)
+def encoder(name: str) -> Encoder:
+    return Encoder(name)
+
+
 class Piece:
     """Encoding of a text on its own: ids, and where each token's word starts (words: start in characters, tokens before it)."""
 
@@ -89,10 +162,10 @@ def _piece(text: str, e) -> Piece:
 
 
 def encode_piece(name: str, text: str) -> Piece:
-    return _true_starts(name, text, load(name).encode(text, add_special_tokens=False))
+    return encoder(name).piece(text)
 
 
-def _true_starts(name: str, text: str, e) -> Piece:
+def _true_starts(text: str, e) -> Piece:
     """Offsets leave out a word's leading space (trimmed); put it back so that the words are gapless."""
     p = _piece(text, e)
     gap = e.offsets
@@ -168,8 +241,7 @@ def encode_long(name: str, text: str, leaf: int = LEAF) -> list[int]:
     if not text:
         return []
     leaves = [text[i : i + leaf] for i in range(0, len(text), leaf)]
-    encoded = load(name).encode_batch(leaves, add_special_tokens=False)
-    return merge_tree(name, [_true_starts(name, x, e) for x, e in zip(leaves, encoded, strict=True)]).ids
+    return merge_tree(name, [encode_piece(name, x) for x in leaves]).ids
 
 
 @lru_cache(1)
@@ -210,11 +282,11 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k.json", digest: bool = Fals
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(name)
+        e = encoder(name)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
             for a, b in slices(texts):
-                yield _rows(name, digest, ids[a:b], (e.ids for e in t.encode_batch_fast(texts[a:b], add_special_tokens=False)))
+                yield _rows(name, digest, ids[a:b], map(e.ids, texts[a:b]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +298,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k.json", digest: bool = Fals
         for batch in batches:
             texts = batch.column(3).to_pylist()
             for a, b in slices(texts, 1 << 19):
-                pieces = [_true_starts(name, x, e) for x, e in zip(texts[a:b], load(name).encode_batch(texts[a:b], add_special_tokens=False), strict=True)]
+                pieces = [encode_piece(name, x) for x in texts[a:b]]
                 held = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*held.columns, *(pa.array([getattr(p, k) for p in pieces], pa.list_(pa.int32())) for k in ("ids", "starts", "tokens"))], [*held.schema.names, "ids", "starts", "tokens"])
 

@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load, tokenizer_path
+from .bpe import PATTERN, load, tokenizer_path
 from .common import slices
 
 LIMIT = 512
 #: Distinct words whose counts a task keeps (about 120 bytes each) before it starts anew. Bounds memory; no result depends on it.
 KEPT_WORDS = 600_000
-#: The splitting pattern of byte-level BPE vocabularies of this kind; a fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Counter:
