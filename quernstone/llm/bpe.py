@@ -21,10 +21,11 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +76,21 @@ def _byte_chars(name: str) -> dict[int, str]:
 
 #: The splitting pattern of byte-level BPE vocabularies of this kind; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a process keeps (about 250 bytes each) before it starts anew; no result depends on it.
-KEPT_WORDS = 300_000
+#: Distinct words whose ids a process keeps (about 200 bytes each) before it starts anew; no result depends on it.
+KEPT_WORDS = 800_000
+
+
+class Known(dict):
+    """Word -> its ids, 4 bytes each; None if it has a code point that is unassigned in this Python's Unicode tables."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library = library
+
+    def __missing__(self, word: str) -> bytes | None:
+        odd = not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+        self[word] = out = None if odd else array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        return out
 
 
 class Encoder:
@@ -93,48 +107,42 @@ class Encoder:
         self.library = load(name)
         self.plain = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not spec["normalizer"] and not spec["post_processor"]
         self.plain = self.plain and not spec["model"].get("dropout") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
-        self.special = {x["content"]: (x["id"],) for x in added}
+        self.special = {x["content"] for x in added}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if added else None
         self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, tuple[int, ...] | None] = {}
+        self.known = Known(self.library)
 
     def words(self, text: str) -> list[str] | None:
-        """The words that text is split into, all of them known; None: the library has to split it."""
+        """The words that text is split into; None: the library has to split it."""
         if not self.plain:
             return None
         if self.split and any(x in text for x in self.special):
             words = [w for part in self.split(text) for w in ([part] if part in self.special else self.find(part))]
         else:
             words = self.find(text)
-        known = self.known
-        if missing := set(words).difference(known):
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                missing = set(words)
-            new = list(missing.difference(self.special))
-            known.update(self.special)
-            known.update((w, tuple(e.ids)) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
-            known.update((w, None) for w in new if not w.isascii() and any(unicodedata.category(c) == "Cn" for c in w))
-        return None if any(known[w] is None for w in missing) or (not text.isascii() and None in map(known.__getitem__, words)) else words
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        return words
 
     def ids(self, text: str) -> list[int]:
         words = self.words(text)
-        if words is None:
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32).tolist()
+        except TypeError:  # no words, or one with an unassigned code point
             return self.library.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def piece(self, text: str) -> Piece:
         words = self.words(text)
-        if words is None:
+        if words is None or None in map(self.known.__getitem__, words):
             return _true_starts(text, self.library.encode(text, add_special_tokens=False))
-        starts, tokens, ids = [], [], []
-        at = 0
+        starts, tokens = [], []
+        at = n = 0
         for w in words:
             starts.append(at)
-            tokens.append(len(ids))
-            ids += self.known[w]
+            tokens.append(n)
+            n += len(self.known[w]) // 4
             at += len(w)
-        return Piece(text, ids, starts, tokens)
+        return Piece(text, self.ids(text), starts, tokens)
 
 
 @lru_cache(2)
