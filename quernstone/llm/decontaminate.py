@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,19 +237,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
     for items in _blocks(benchmark, block):
         held = spark.sparkContext.broadcast(items)
 
-        def hit(batches: Iterator, held=held) -> Iterator:
-            index = build(held.value, q)
-            for texts in batches:
-                yield texts.map(lambda x: bool(search(index, [normal(x).replace("\0", " ")], rate)))
-
-        docs = docs.where(~_series(hit)(F.col("text")))
+        docs = docs.where(~_holds_item(held, q, rate)(F.coalesce("text", F.lit(""))))
     return docs
 
 
-def _series(f):
-    import pandas as pd
-
-    def g(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from f(batches)
+def _holds_item(held, q: int, rate: float):
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = build(held.value, q)
+        for texts in batches:
+            yield texts.map(lambda x: bool(search(index, [normal(x).replace("\0", " ")], rate))).astype(bool)
 
-    return F.pandas_udf(g, "boolean")
+    return hit

@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced by [SECRET], and n_chars, where there is one, set anew; null texts stay null."""
 
     @F.pandas_udf("string")
-    def clean(batches: Iterator) -> Iterator:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(redact)
 
