@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Length of the grams, and edits allowed a character of the item: below 1/q, so that the lemma's bound is positive.
 Q, RATE = 10, 0.08
 #: Items a pass over the documents looks for: bounds the broadcast (about 4 KB an item); more items make more passes.
@@ -216,17 +218,12 @@ def _finder(held, q: int, rate: float):
         index = build(held.value, q)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a = 0
-            while a < len(texts):
-                b, held_chars = a, 0
-                while b < len(texts) and (b == a or held_chars + len(texts[b] or "") <= 1 << 19):
-                    held_chars += len(texts[b] or "")
-                    b += 1
-                rows = [(ids[a + d], index.ids[t], e, s, f, len(index.texts[t])) for d, t, e, s, f in search(index, [normal(x).replace("\0", " ") for x in texts[a:b]], rate)]
+            texts = [normal(x).replace("\0", " ") for x in texts]
+            for a, b in slices(texts, 1 << 19):
+                rows = [(ids[a + d], index.ids[t], e, s, f, len(index.texts[t])) for d, t, e, s, f in search(index, texts[a:b], rate)]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "edits", "start", "end", "item_chars"])
-                a = b
 
     return find
 
@@ -246,6 +243,10 @@ def _holds_item(held, q: int, rate: float):
     def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = build(held.value, q)
         for texts in batches:
-            yield texts.map(lambda x: bool(search(index, [normal(x).replace("\0", " ")], rate))).astype(bool)
+            texts = [normal(x).replace("\0", " ") for x in texts]
+            found = [a + d for a, b in slices(texts, 1 << 19) for d, *_ in search(index, texts[a:b], rate)]
+            hits = np.zeros(len(texts), bool)
+            hits[found] = True
+            yield pd.Series(hits)
 
     return hit
