@@ -13,7 +13,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,11 @@ BEGINNINGS = (4, 5, 6)
 #: A word counts only if its share of toxic rows is as unlikely by chance as e**-14, about one in a million, and if
 #: at least this share of the rows that have it are toxic. So no number of weak signs makes a long clean text toxic.
 EVIDENCE, LEAST_SHARE = 14.0, 0.95
+#: Runs whose sign a task keeps (about 150 bytes each) before it starts anew; no result depends on it.
+KEPT_WORDS = 200_000
 _words = re.compile(r"\w+").findall
-_odd = re.compile(r"[^\w\s.,;:!?'\"()-]").findall
+_plain = np.zeros(256, bool)
+_plain[[*range(33), *map(ord, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz.,;:!?'\"()-"), *range(127, 256)]] = True
 
 
 def make_up(text: str | None) -> list[float]:
@@ -41,16 +45,29 @@ def make_up(text: str | None) -> list[float]:
     text = text or ""
     n, words = max(1, len(text)), text.split()
     k = max(1, len(words))
+    signs = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     caps = sum(map(str.isupper, words))
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    marks = text.count("!")
-    return [caps / k, marks / n, text.count("|") / n, len(_odd(text)) / n, again / k, len(set(words)) / k**0.8, math.log1p(len(words)), len(text) / k / 10, sum(map(text.count, "0123456789")) / n]
+    again = sum(map(eq, words, words[1:]))
+    odd, digits = int(signs[~_plain].sum()), int(signs[48:58].sum())
+    return [caps / k, signs[33] / n, signs[124] / n, odd / n, again / k, len(set(words)) / k**0.8, math.log1p(len(words)), len(text) / k / 10, digits / n]
 
 
 def parts(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
+class Signs(dict):
+    """Run of signs without white space -> log odds of the clearest sign of toxicity in it."""
+
+    def __init__(self, toxic: dict[str, float]):
+        super().__init__()
+        self.toxic = toxic
+
+    def __missing__(self, run: str) -> float:
+        self[run] = out = max((self.toxic.get(p, -30.0) for w in _words(run) for p in parts(w)), default=-30.0)
+        return out
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -58,23 +75,16 @@ class Model:
     weights: np.ndarray  # the last one is the intercept
     toxic: dict[str, float]
     toxic_prior: float
-    word: dict[str, float] = field(default_factory=dict)  # what a process has found so far
 
     def quality(self, figures: np.ndarray) -> np.ndarray:
         x = np.clip((figures - self.mean) / self.scale, -20, 20)
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)
 
-    def toxicity(self, text: str | None) -> float:
-        known = self.word
-        if len(known) > 500_000:
-            known.clear()
-        worst = self.toxic_prior
-        for w in set(_words((text or "").lower())):
-            if (v := known.get(w)) is None:
-                v = known[w] = max((self.toxic.get(p, -30.0) for p in parts(w)), default=-30.0)
-            if v > worst:
-                worst = v
-        return worst
+    def toxicity(self, text: str | None, signs: Signs) -> float:
+        """signs: Signs(self.toxic), kept from text to text."""
+        if len(signs) > KEPT_WORDS:
+            signs.clear()
+        return max(map(signs.__getitem__, set((text or "").lower().split())), default=-30.0)
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -101,12 +111,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named), "doc_id")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            words = [[p for w in set(_words(t.lower())) for p in parts(w)] for t in b["text"]]
-            counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for t, w in zip(b["toxic"], words, strict=True):
-                counts[int(t > 0)].update(set(w))
-            yield pd.DataFrame({"toxic": [0, 1], "part": [list(counts[k]) for k in (0, 1)], "n": [list(counts[k].values()) for k in (0, 1)]})
+            for toxic, text in zip(b["toxic"], b["text"], strict=True):
+                mine = counts[int(toxic > 0)]
+                mine.update({p for w in set(_words(text.lower())) for p in parts(w)})
+                if len(mine) > KEPT_WORDS:
+                    yield pd.DataFrame({"toxic": int(toxic > 0), "part": list(mine), "n": list(mine.values())})
+                    mine.clear()
+        for k, mine in counts.items():
+            yield pd.DataFrame({"toxic": k, "part": list(mine), "n": list(mine.values())})
 
     def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,13 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1 = int((own["toxic"] > 0).sum())
     n0 = len(own) - n1
     texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(own[["doc_id"]])), "doc_id", "left_semi")
-    spread = texts.mapInPandas(reduce, "toxic int, part array<string>, n array<long>").select("toxic", F.explode(F.arrays_zip("part", "n")).alias("e"))
-    a, b = F.sum(F.when(F.col("toxic") == 1, F.col("e.n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("e.n")).otherwise(0))
+    spread = texts.mapInPandas(reduce, "toxic int, part string, n long")
+    a, b = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     base = (n1 + 0.5) / (n1 + n0 + 1.0)
     share = F.col("a") / (F.col("a") + F.col("b"))
     unlikely = F.col("a") * F.log(share / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0)
     odds = F.log((F.col("a") + 0.5) / (F.col("b") + 0.5))
-    strong = spread.groupBy(F.col("e.part").alias("part")).agg(a.alias("a"), b.alias("b")).where((F.col("a") >= 3) & (unlikely >= EVIDENCE) & ((F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1) >= LEAST_SHARE))
+    strong = spread.groupBy("part").agg(a.alias("a"), b.alias("b")).where((F.col("a") >= 3) & (unlikely >= EVIDENCE) & ((F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1) >= LEAST_SHARE))
     strong = strong.select("part", odds.alias("w")).orderBy(F.desc("w"), "part").limit(50_000)
     toxic = {p: float(w) for p, w in strong.collect()}
     return Model(mean, scale, weights, toxic, math.log((n1 + 0.5) / (n0 + 0.5)))
@@ -140,9 +154,11 @@ def evidence(model: Model):
 
     @F.pandas_udf("quality double, toxic double")
     def own(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        signs = Signs(model.toxic)
         for texts in batches:
             figures = np.array([make_up(t) for t in texts]).reshape(-1, FEATURES)
-            yield pd.DataFrame({"quality": model.quality(figures), "toxic": [model.toxicity(t) for t in texts]})
+            toxic = np.array([model.toxicity(t, signs) for t in texts], float)
+            yield pd.DataFrame({"quality": model.quality(figures), "toxic": np.maximum(toxic, model.toxic_prior)})
 
     return own
 
