@@ -5,10 +5,273 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalars import within
+from ..sources.formats import csv_lines
+from ..sources.tables import Database
+from ..streaming.changes import sessions, windowed
+from .query import Query
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def database(spark: SparkSession, sf_dir: str) -> Database:
+    db = Database(spark)
+    for t in TABLES:
+        db.attach(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    return db
+
+
+def add(name: str, build: Callable[[Database], Query | DataFrame], sql: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = build(database(spark, sf_dir))
+        return made.df() if isinstance(made, Query) else made
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
+    return QUERIES["flagship"](spark, sf_dir)
+
+
+add(
+    "flagship",
+    lambda db: db.query("customer").join({"type": "inner", "with": {"table": "orders"}, "on": ["customer.c_custkey", "=", "orders.o_custkey"]}).where(["c_acctbal", ">", 0])
+    .select(["customer.c_mktsegment AS segment", "COUNT(*) AS n", "SUM(orders.o_totalprice) AS total"]).group_by(["customer.c_mktsegment ASC"]).having(["n", ">", 10]).order_by(["total DESC"]).limit(10),
+    "SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY 1 HAVING count(*) > 10 ORDER BY total DESC LIMIT 10",
+)
+# sums of doubles are rounded on both sides
+QUERIES["flagship"], _raw = (lambda spark, d: _raw(spark, d).withColumn("total", F.round("total", 2))), QUERIES["flagship"]
+ORACLE_SQL["flagship"] = ORACLE_SQL["flagship"].replace("sum(o_totalprice) AS total", "round(sum(o_totalprice), 2) AS total")
+
+# ---- comparators. v: nulls on every fifth nation, as the tables have none
+_customers = "(SELECT *, nullif(c_nationkey % 5, 0) AS v, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE [c_nationkey % 3, c_nationkey % 7] END AS arr, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE [c_mktsegment, c_name] END AS words FROM customer)"
+
+
+def _nullable(db: Database) -> DataFrame:
+    n = F.col("c_nationkey")
+    none = n % 4 == 0
+    return db.rows("customer").withColumns({"v": F.nullif(n % 5, F.lit(0)), "arr": F.when(~none, F.array(n % 3, n % 7)), "words": F.when(~none, F.array("c_mktsegment", "c_name"))})
+
+
+def _where(name: str, where, sql: str) -> None:
+    add(f"where_{name}", lambda db: db.query(_nullable(db)).select(["c_custkey", "c_name"]).where(where), f"SELECT c_custkey, c_name FROM {_customers} WHERE {sql}")
+
+
+for _name, _cond, _sql in (
+    ("eq", ["v", "=", 2], "v = 2"),
+    ("ne", ["v", "!=", 2], "v IS DISTINCT FROM 2"),
+    ("lt", ["c_acctbal", "<", 1000], "c_acctbal < 1000"),
+    ("gt", ["v", ">", 2], "v > 2"),
+    ("le", ["v", "<=", 2], "v <= 2"),
+    ("ge", ["v", ">=", 3], "v >= 3"),
+    ("in", ["v", "IN", [1, 3]], "v IN (1, 3)"),
+    ("not_in", ["v", "NOT IN", [1, 3]], "coalesce(v NOT IN (1, 3), true)"),
+    ("between", ["c_acctbal", "BETWEEN", [100, 900]], "c_acctbal BETWEEN 100 AND 900"),
+    ("not_between", ["v", "NOT BETWEEN", [2, 3]], "v <= 2 OR v >= 3"),
+    ("like", ["c_mktsegment", "LIKE", "%u_l%"], "c_mktsegment ILIKE '%u_l%'"),
+    ("like_prefix", ["c_name", "LIKE", "customer#00000001%"], "c_name ILIKE 'customer#00000001%'"),
+    ("not_like", ["c_mktsegment", "NOT LIKE", "b%"], "NOT coalesce(c_mktsegment, '') ILIKE 'b%'"),
+    ("regexp", ["c_name", "REGEXP", "[02468]$"], "regexp_matches(c_name, '[02468]$')"),
+    ("includes", ["arr", "INCLUDES", 2], "coalesce(list_contains(arr, 2), false)"),
+    ("not_includes", ["arr", "NOT INCLUDES", 2], "NOT coalesce(list_contains(arr, 2), false)"),
+    ("includes_like", ["words", "INCLUDES LIKE", "auto%"], "c_nationkey % 4 <> 0 AND (c_mktsegment ILIKE 'auto%' OR c_name ILIKE 'auto%')"),
+    ("intersect", ["arr", "INTERSECT", [1, 6]], "coalesce(list_has_any(arr, [1, 6]), false)"),
+    ("intersect_all", ["arr", "INTERSECT ALL", [2, 5]], "coalesce(list_has_all(arr, [2, 5]), false)"),
+    ("not_intersect", ["arr", "NOT INTERSECT", [1, 6]], "NOT coalesce(list_has_any(arr, [1, 6]), false)"),
+    ("null", ["v", "=", "NULL"], "v IS NULL"),
+    ("not_null", ["v", "=", "NOT NULL"], "v IS NOT NULL"),
+    ("left_to_right", [["v", "=", 1], "OR", ["c_acctbal", ">", 5000], "AND", ["c_nationkey", "<", 10]], "(coalesce(v = 1, false) OR c_acctbal > 5000) AND c_nationkey < 10"),
+    ("nested", [["v", "=", 1], "AND", [["c_acctbal", ">", 5000], "OR", ["c_acctbal", "<", 0]]], "v = 1 AND (c_acctbal > 5000 OR c_acctbal < 0)"),
+    ("function", lambda df: F.col("c_custkey") % 7 == 3, "c_custkey % 7 = 3"),
+    ("in_function", ["LEVENSHTEIN(c_mktsegment, 'BUILDINGS')", "<", 3], "levenshtein(c_mktsegment, 'BUILDINGS') < 3"),
+    ("path_index", ["arr[1]", "=", 5], "arr[2] = 5"),
+    ("length", ["arr.length", "=", 2], "len(arr) = 2"),
+):
+    _where(_name, _cond, _sql)
+add("where_date", lambda db: db.query("orders").select(["o_orderkey"]).where([["o_orderdate", ">=", "1996-01-01"], "AND", ["o_orderdate", "<", "1996-07-01"]]), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'")
+add("where_json_path", lambda db: db.query("events").select(["event_id", "props.k AS k"]).where(["props.k", "LIKE", "1%"]), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') LIKE '1%'")
+
+# ---- scans
+add("scan_point", lambda db: db.query("customer").where(["c_custkey", "=", 42]), "SELECT * FROM customer WHERE c_custkey = 42")
+add("scan_range", lambda db: db.query("orders").where(["o_orderkey", "BETWEEN", [100, 500]]), "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 500")
+add("scan_multi_get", lambda db: db.query("part").where(["p_partkey", "IN", [1, 5, 9, 700]]), "SELECT * FROM part WHERE p_partkey IN (1, 5, 9, 700)")
+add("scan_rows", lambda db: db.query([{"id": 1, "s": "a"}, {"id": 2, "s": "b"}]).where(["id", ">", 1]), "SELECT 2::BIGINT AS id, 'b' AS s")
+add("scan_function", lambda db: db.query(lambda where: db.rows("nation")).where(["n_regionkey", "=", 1]), "SELECT * FROM nation WHERE n_regionkey = 1")
+add("scan_page", lambda db: db.page("p", db.query("customer").select(["c_custkey"]).order_by(["c_custkey ASC"]), 100, 50), "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")
+add("total", lambda db: db.total("lineitem"), "SELECT count(*) AS total FROM lineitem")
+add("show_tables", lambda db: db.show_tables(), "SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events']) AS \"table\"")
+add("export_csv", lambda db: csv_lines(db.rows("nation"), header=False), "SELECT 1 AS at, n_nationkey || ',\"' || n_name || '\",' || n_regionkey AS line FROM nation")
+
+
+# ---- functions: rounded where the last bits of doubles may differ
+def _functions(name: str, table: str, key: str, pairs: dict[str, tuple[str, str]], digits: int | None = None) -> None:
+    def build(db: Database) -> DataFrame:
+        df = db.query(table).select([key, *(f"{e} AS {a}" for a, (e, _) in pairs.items())]).df()
+        return df.select(key, *(F.round(F.col(a).cast("double"), digits).alias(a) for a in pairs)) if digits is not None else df
+
+    wrap = (lambda s: f"round(CAST({s} AS DOUBLE), {digits})") if digits is not None else (lambda s: s)
+    add(name, build, f"SELECT {key}, {', '.join(f'{wrap(s)} AS {a}' for a, (_, s) in pairs.items())} FROM {table}")
+
+
+_functions("fn_strings", "customer", "c_custkey", {
+    "lo": ("LOWER(c_name)", "lower(c_name)"), "up": ("UPPER(c_mktsegment)", "upper(c_mktsegment)"), "tr": ("TRIM(CONCAT(' \t', c_name, ' '))", "c_name"), "cc": ("CONCAT(c_name, '-', c_nationkey)", "c_name || '-' || c_nationkey"),
+    "cw": ("CONCAT_WS('/', c_name, c_mktsegment)", "concat_ws('/', c_name, c_mktsegment)"), "rp": ("REPLACE(c_name, '0', 'X')", "regexp_replace(c_name, '0', 'X')"), "sc": ("STRCMP(c_mktsegment, 'FURNITURE')", "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment > 'FURNITURE' THEN 1 ELSE 0 END"),
+    "le": ("LEVENSHTEIN(c_mktsegment, 'MACHINERY')", "levenshtein(c_mktsegment, 'MACHINERY')::INT"), "ln": ("c_name.length", "length(c_name)::INT"), "iff": ("IF(c_acctbal > 0, 'pos', 'neg')", "CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END"),
+    "nest": ("UPPER(TRIM(LOWER(c_name)))", "upper(trim(lower(c_name)))"), "gr": ("GREATEST(c_nationkey, 7)", "greatest(c_nationkey, 7)"), "lt": ("LEAST(c_nationkey, 7)", "least(c_nationkey, 7)"),
+})
+_functions("fn_cast", "customer", "c_custkey", {"i": ("CAST(c_acctbal, 'int')", "floor(c_acctbal + 0.5::DOUBLE)::BIGINT"), "s": ("CAST(c_nationkey, 'string')", "c_nationkey::VARCHAR"), "n": ("CAST(c_name, 'number')", "coalesce(try_cast(c_name AS DOUBLE), 0.0::DOUBLE)"), "e": ("CAST(CONCAT('<', c_name, '>'), 'safestr')", "'&lt;' || replace(c_name, '/', '&#x2F;') || '&gt;'")})
+_functions("fn_arithmetic", "lineitem", "l_orderkey", {
+    "ad": ("ADD(l_quantity, l_tax, 1)", "l_quantity + l_tax + 1"), "su": ("SUB(l_quantity, l_tax)", "l_quantity - l_tax"), "mu": ("MULT(l_quantity, l_discount, 2)", "l_quantity * l_discount * 2"), "di": ("DIV(l_extendedprice, l_quantity)", "l_extendedprice / l_quantity"),
+    "mo": ("MOD(l_linenumber, 3)", "l_linenumber % 3"), "pi": ("PI()", "pi()"), "hy": ("HYPOT(l_quantity, l_linenumber)", "sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber)"),
+}, 7)
+_functions("fn_math", "lineitem", "l_orderkey", {
+    "ab": ("ABS(SUB(0, l_quantity))", "l_quantity"), "ce": ("CEIL(l_extendedprice)", "ceil(l_extendedprice)"), "fl": ("FLOOR(l_extendedprice)", "floor(l_extendedprice)"), "ex": ("EXP(l_discount)", "exp(l_discount)"), "lo": ("LOG(l_quantity)", "ln(l_quantity)"), "l10": ("LOG10(l_quantity)", "log10(l_quantity)"), "l2": ("LOG2(l_quantity)", "log2(l_quantity)"),
+    "sq": ("SQRT(l_quantity)", "sqrt(l_quantity)"), "cb": ("CBRT(l_quantity)", "cbrt(l_quantity)"), "po": ("POW(l_discount, 2)", "pow(l_discount, 2)"), "si": ("SIGN(SUB(l_quantity, 25))", "sign(l_quantity - 25)"), "sn": ("SIN(l_quantity)", "sin(l_quantity)"), "co": ("COS(l_quantity)", "cos(l_quantity)"), "ta": ("TAN(l_discount)", "tan(l_discount)"),
+    "ac": ("ACOS(l_discount)", "acos(l_discount)"), "asn": ("ASIN(l_discount)", "asin(l_discount)"), "atn": ("ATAN(l_quantity)", "atan(l_quantity)"), "at2": ("ATAN2(l_tax, l_quantity)", "atan2(l_tax, l_quantity)"), "snh": ("SINH(l_discount)", "sinh(l_discount)"), "csh": ("COSH(l_discount)", "cosh(l_discount)"), "tnh": ("TANH(l_discount)", "tanh(l_discount)"),
+    "ash": ("ASINH(l_discount)", "asinh(l_discount)"), "ach": ("ACOSH(ADD(l_discount, 1))", "acosh(l_discount + 1)"), "ath": ("ATANH(l_discount)", "atanh(l_discount)"), "em": ("EXPM1(l_discount)", "exp(l_discount) - 1"), "lp": ("LOG1P(l_discount)", "ln(1 + l_discount)"), "tru": ("TRUNC(SUB(l_quantity, 25.5))", "trunc(l_quantity - 25.5::DOUBLE)"), "rnd": ("ROUND(SUB(l_quantity, 25.5))", "floor(l_quantity - 25.5::DOUBLE + 0.5::DOUBLE)"),
+    "clz": ("CLZ32(l_quantity)", "32 - length(bin(l_quantity::BIGINT))"), "imu": ("IMUL(l_quantity, 3)", "l_quantity * 3"), "fr": ("FROUND(l_discount)", "l_discount::FLOAT::DOUBLE"),
+}, 5)
+
+# ---- aggregation
+_seg = "c_mktsegment"
+add("group_aggregates", lambda db: db.query(_nullable(db)).select([_seg, "COUNT(*) AS n", "COUNT(v) AS nv", "MAX(v) AS mx", "MIN(v) AS mn", "SUM(v) AS su", "AVG(v) AS av"]).group_by([f"{_seg} ASC"]),
+    f"SELECT c_mktsegment, count(*) AS n, count(v) FILTER (v <> 0) AS nv, max(coalesce(v, 0)) AS mx, min(coalesce(v, 0)) AS mn, sum(coalesce(v, 0))::DOUBLE AS su, sum(coalesce(v, 0))::DOUBLE / count(*) AS av FROM {_customers} GROUP BY 1")
+add("group_by_function", lambda db: db.query("customer").select([f"LOWER({_seg}) AS s", "COUNT(*) AS n"]).group_by([f"LOWER({_seg}) ASC"]), "SELECT lower(c_mktsegment) AS s, count(*) AS n FROM customer GROUP BY 1")
+add("global_aggregate", lambda db: db.query("customer").select(["COUNT(*) AS n", "MAX(c_acctbal) AS mx", "MIN(c_acctbal) AS mn"]).where(["c_custkey", ">", 10]), "SELECT count(*) AS n, max(c_acctbal) AS mx, min(c_acctbal) AS mn FROM customer WHERE c_custkey > 10")
+add("global_aggregate_empty", lambda db: db.query("customer").select(["COUNT(*) AS n", "SUM(c_acctbal) AS su", "AVG(c_acctbal) AS av"]).where(["c_custkey", "<", 0]), "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS su, 0.0::DOUBLE AS av")
+add("group_first_row", lambda db: db.query("customer").select(["c_custkey", "c_name", "c_nationkey"]).group_by(["c_nationkey ASC"]), "SELECT min(c_custkey) AS c_custkey, arg_min(c_name, c_custkey) AS c_name, c_nationkey FROM customer GROUP BY c_nationkey")
+add("bare_column_max", lambda db: db.query("customer").select([_seg, "MAX(c_acctbal) AS top", "c_name AS who"]).group_by([_seg]), "SELECT c_mktsegment, max(c_acctbal) AS top, arg_max(c_name, c_acctbal) AS who FROM customer GROUP BY 1")
+add("bare_column_count", lambda db: db.query("customer").select([_seg, "COUNT(*) AS n", "c_name AS who"]).group_by([_seg]), "SELECT c_mktsegment, count(*) AS n, arg_min(c_name, c_custkey) AS who FROM customer GROUP BY 1")
+add("having_literal", lambda db: db.query("orders").select(["o_custkey", "COUNT(*)"]).group_by(["o_custkey"]).having(["COUNT(*)", ">", 15]), "SELECT o_custkey, count(*) AS \"COUNT(*)\" FROM orders GROUP BY 1 HAVING count(*) > 15")
+add("aggregate_of_path", lambda db: db.query(_nullable(db)).select([_seg, "AVG(arr.length) AS av"]).group_by([_seg]), f"SELECT c_mktsegment, sum(coalesce(len(arr), 0))::DOUBLE / count(*) AS av FROM {_customers} GROUP BY 1")
+add("group_json_path", lambda db: db.query("events").select(["props.k AS k", "COUNT(*) AS n"]).group_by(["props.k"]), "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+
+# ---- sort, limit, distinct, sets
+add("order_limit_offset", lambda db: db.query("customer").select(["c_custkey", "c_acctbal"]).order_by(["c_acctbal DESC", "c_custkey ASC"]).offset(5).limit(20), "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")
+add("order_by_function", lambda db: db.query("customer").select(["c_custkey"]).order_by(["UPPER(c_mktsegment) ASC", "c_custkey DESC"]).limit(15), "SELECT c_custkey FROM customer ORDER BY upper(c_mktsegment), c_custkey DESC LIMIT 15")
+add("order_nulls", lambda db: db.query(_nullable(db)).select(["c_custkey", "v"]).order_by({"v": "desc", "c_custkey": "asc"}).limit(30), f"SELECT c_custkey, v FROM {_customers} ORDER BY v DESC NULLS FIRST, c_custkey LIMIT 30")
+add("offset_only", lambda db: db.query("nation").order_by(["n_nationkey ASC"]).offset(20), "SELECT * FROM nation ORDER BY n_nationkey OFFSET 20")
+add("distinct_columns", lambda db: db.query("customer").distinct(["c_nationkey", _seg]), "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+add("distinct_with_select", lambda db: db.query("customer").select(["c_custkey"]).distinct(["c_nationkey"]), "SELECT min(c_custkey) AS c_custkey, c_nationkey FROM customer GROUP BY c_nationkey")
+add("union_distinct", lambda db: db.query("x").union([db.query("customer").select(["c_nationkey AS k"]), db.query("supplier").select(["s_nationkey"])]), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+add("union_all", lambda db: db.query("x").union([db.query("customer").select(["c_nationkey AS k"]), db.query("supplier").select(["s_nationkey"])], True).where(["k", "<", 9]), "SELECT k FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) WHERE k < 9")
+
+# ---- joins
+_on = ["customer.c_nationkey", "=", "nation.n_nationkey"]
+_few = "(SELECT * FROM customer WHERE c_custkey < 200)"
+
+
+def _join(name: str, kind: str, sql: str, where=None) -> None:
+    def build(db: Database) -> Query:
+        few = db.rows("supplier").where("s_suppkey % 9 = 0")
+        return db.query(few, "s").join({"type": kind, "with": {"table": "nation", "as": "n"}, "on": ["s.s_nationkey", "=", "n.n_nationkey"]}).select(["s.s_name AS a", "n.n_name AS b"])
+
+    add(f"join_{name}", build, f"SELECT s_name AS a, n_name AS b FROM (SELECT * FROM supplier WHERE s_suppkey % 9 = 0) {sql} JOIN nation ON s_nationkey = n_nationkey")
+
+
+for _name, _kind, _sql in (("inner", "inner", ""), ("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("full", "outer", "FULL")):
+    _join(_name, _kind, _sql)
+add("join_cross", lambda db: db.query("region").join({"type": "cross", "with": {"table": "nation"}}).select(["region.r_name AS a", "nation.n_name AS b"]), "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation")
+add("join_flat_names", lambda db: db.query("nation").join({"type": "inner", "with": {"table": "region"}, "on": ["nation.n_regionkey", "=", "region.r_regionkey"]}), "SELECT n_nationkey AS \"nation.n_nationkey\", n_name AS \"nation.n_name\", n_regionkey AS \"nation.n_regionkey\", r_regionkey AS \"region.r_regionkey\", r_name AS \"region.r_name\" FROM nation JOIN region ON n_regionkey = r_regionkey")
+add("join_theta", lambda db: db.query("supplier").join({"type": "inner", "with": {"table": "nation"}, "on": [["supplier.s_nationkey", "<", "nation.n_nationkey"], "AND", ["nation.n_regionkey", "=", "supplier.s_nationkey"]]}).select(["supplier.s_suppkey AS a", "nation.n_nationkey AS b"]), "SELECT s_suppkey AS a, n_nationkey AS b FROM supplier JOIN nation ON s_nationkey < n_nationkey AND n_regionkey = s_nationkey")
+add("join_function", lambda db: db.query("region").join({"type": "inner", "with": {"table": "nation"}, "on": lambda df: F.col("`region.r_regionkey`") + 1 == F.col("`nation.n_regionkey`")}).select(["region.r_name AS a", "nation.n_name AS b"]), "SELECT r_name AS a, n_name AS b FROM region JOIN nation ON r_regionkey + 1 = n_regionkey")
+add("join_multi", lambda db: db.query("customer").where([["c_acctbal", ">", 5000], "AND", ["region.r_name", "LIKE", "a%"]]).join([{"type": "inner", "with": {"table": "nation"}, "on": _on}, {"type": "inner", "with": {"table": "region"}, "on": ["nation.n_regionkey", "=", "region.r_regionkey"]}]).select(["customer.c_custkey AS k", "region.r_name AS r"]), "SELECT c_custkey AS k, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000 AND r_name ILIKE 'a%'")
+add("join_self", lambda db: db.query("nation", "a").join({"type": "inner", "with": {"table": "nation", "as": "b"}, "on": [["a.n_regionkey", "=", "b.n_regionkey"], "AND", ["a.n_nationkey", "<", "b.n_nationkey"]]}).select(["a.n_name AS x", "b.n_name AS y"]), "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+add("join_rows", lambda db: db.query("region").join({"type": "inner", "with": {"table": [{"id": 1, "tag": "x"}], "as": "t"}, "on": ["region.r_regionkey", "=", "t.id"]}).select(["region.r_name AS r", "t.tag AS g"]), "SELECT r_name AS r, 'x' AS g FROM region WHERE r_regionkey = 1")
+for _name, _kind, _sql in (("semi", "semi", ""), ("anti", "anti", "NOT ")):
+    add(f"join_{_name}", lambda db, k=_kind: db.query("customer").join({"type": k, "with": {"table": "orders"}, "on": ["customer.c_custkey", "=", "orders.o_custkey"]}).select(["customer.c_custkey AS k"]), f"SELECT c_custkey AS k FROM customer WHERE {_sql}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+
+# ---- graphs, flattened so that the results can be compared
+_orders = {"key": "kids", "with": {"table": "orders"}, "on": ["customer.c_custkey", "=", "orders.o_custkey"]}
+
+
+def _graph(name: str, spec: dict, flat: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    add(f"graph_{name}", lambda db: flat(db.query("customer").where(["c_custkey", "<=", 300]).graph(_orders | spec).df()), sql)
+
+
+_c = "(SELECT * FROM customer WHERE c_custkey <= 300)"
+_graph("basic", {}, lambda df: df.select("c_custkey", F.size("kids").cast("long").alias("n")), f"SELECT c_custkey, count(o_orderkey) AS n FROM {_c} LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+_graph("select", {"select": ["o_orderkey", "o_orderstatus AS st"], "orderBy": ["o_orderkey DESC"], "limit": 2, "offset": 1}, lambda df: df.select("c_custkey", F.explode("kids").alias("k")).select("c_custkey", "k.o_orderkey", "k.st"),
+       f"SELECT c_custkey, o_orderkey, o_orderstatus AS st FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey DESC) AS n FROM {_c} JOIN orders ON o_custkey = c_custkey) WHERE n BETWEEN 2 AND 3")
+_graph("single", {"single": True, "orderBy": ["o_orderkey ASC"]}, lambda df: df.select("c_custkey", F.col("kids.o_orderkey").alias("last")), f"SELECT c_custkey, max(o_orderkey) AS last FROM {_c} LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+_graph("aggregate", {"select": ["o_orderstatus AS st", "COUNT(*) AS n"], "groupBy": ["o_orderstatus"]}, lambda df: df.select("c_custkey", F.explode("kids").alias("k")).select("c_custkey", "k.st", "k.n"), f"SELECT c_custkey, o_orderstatus AS st, count(*) AS n FROM {_c} JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+_graph("nested", {"graph": [{"key": "lines", "with": {"table": "lineitem"}, "on": ["orders.o_orderkey", "=", "lineitem.l_orderkey"]}]}, lambda df: df.select("c_custkey", F.explode("kids").alias("k")).select("c_custkey", "k.o_orderkey", F.size("k.lines").cast("long").alias("n")), f"SELECT c_custkey, o_orderkey, count(l_orderkey) AS n FROM {_c} JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+
+
+# ---- mutations, as the table that they leave
+def _upserted(db: Database) -> DataFrame:
+    rows = db.rows("nation").where("n_nationkey < 3").select("n_nationkey", F.lit("renamed").alias("n_name")).unionAll(db.spark.createDataFrame([(99, "new")], "n_nationkey int, n_name string"))
+    db.upsert("nation", rows)
+    return db.rows("nation")
+
+
+def _updated(db: Database) -> DataFrame:
+    db.update("nation", {"n_name": "x"}, ["n_regionkey", "=", 2])
+    return db.rows("nation")
+
+
+def _deleted(db: Database) -> DataFrame:
+    db.tables["nation"].indexes = {"n_regionkey:int": {"foreignKey": {"target": "region.r_regionkey", "onDelete": "CASCADE"}}}
+    db.delete("region", ["r_regionkey", "IN", [0, 3]])
+    return db.rows("nation")
+
+
+add("upsert", _upserted, "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'renamed' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'new', NULL")
+add("update_where", _updated, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'x' ELSE n_name END AS n_name, n_regionkey FROM nation")
+add("delete_returns", lambda db: db.delete("orders", ["o_orderstatus", "=", "F"]), "SELECT * FROM orders WHERE o_orderstatus = 'F'")
+add("delete_cascade", _deleted, "SELECT * FROM nation WHERE n_regionkey NOT IN (0, 3)")
+
+# ---- places: derived from customer keys
+_lat, _lon = "(c_custkey * 7 % 180 - 90)", "(c_custkey * 13 % 360 - 180)"
+
+
+def _places(db: Database) -> DataFrame:
+    return db.rows("customer").select("c_custkey", F.struct((F.col("c_custkey") * 7 % 180 - 90).cast("double").alias("lat"), (F.col("c_custkey") * 13 % 360 - 180).cast("double").alias("lon")).alias("loc"))
+
+
+_crow = f"(2 * 6371 * atan2(sqrt(h), sqrt(1 - h)))"
+_havers = f"SELECT c_custkey, pow(sin(radians(40 - {_lat}) / 2), 2) + cos(radians({_lat})) * cos(radians(40.0::DOUBLE)) * pow(sin(radians(175 - {_lon}) / 2), 2) AS h FROM customer"
+add("crow_distance", lambda db: db.query(_places(db)).select(["c_custkey", "CROW(loc, 40, 175) AS km"]).df().withColumn("km", F.round("km", 3)), f"SELECT c_custkey, round({_crow}, 3) AS km FROM ({_havers})")
+add("crow_where", lambda db: db.query(_places(db)).select(["c_custkey"]).where(["CROW(loc, 40, 175)", "<", 2500]), f"SELECT c_custkey FROM ({_havers}) WHERE {_crow} < 2500")
+add("crow_box", lambda db: _places(db).where(within(F.col("loc.lat"), F.col("loc.lon"), 40.0, 175.0, 2500.0)).select("c_custkey"), f"SELECT c_custkey FROM ({_havers}) WHERE {_crow} <= 2500")
+
+# ---- SQL text
+for _name, _text, _sql in (
+    ("top", "SELECT TOP 5 n_nationkey FROM nation ORDER BY n_nationkey", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 5"),
+    ("glob", "SELECT n_name FROM nation WHERE n_name GLOB 'N*1?'", "SELECT n_name FROM nation WHERE n_name GLOB 'N*1?'"),
+    ("cte", "WITH a AS (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1) SELECT r, n FROM a WHERE n > 1", None),
+    ("window", "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 200000 AS rich FROM orders", None),
+    ("grouping_sets", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None),
+    ("rollup", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", None),
+    ("cube", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
+    ("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
+    ("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", None),
+    ("count_distinct", "SELECT count(DISTINCT o_custkey) AS n FROM orders", None),
+    ("case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f FROM orders", None),
+    ("exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    ("natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) NATURAL JOIN (SELECT s_nationkey AS k, s_name AS b FROM supplier)", None),
+    ("using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) JOIN (SELECT s_nationkey AS k, s_name AS b FROM supplier) USING (k)", None),
+    ("apply", "SELECT r_name, n FROM region CROSS APPLY (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey)", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
+    ("pivot", "SELECT * FROM (SELECT o_orderpriority AS p, o_orderstatus AS s FROM orders) PIVOT (count(*) FOR s IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority AS p, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders GROUP BY 1"),
+):
+    add(f"sql_{_name}", lambda db, t=_text: db.sql(t), _sql or _text)
+
+# ---- events
+add("tumbling_window", lambda db: windowed(db.rows("events"), "1 day").select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total")), "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+add("session_window", lambda db: sessions(db.rows("events"), "6 hours").select("user_id", "n"),
+    "WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), b AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, count(*) AS n FROM b GROUP BY user_id, s")
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.search import search
+
+    return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", ["the hation", "thingering"], mode="english-stem", most=2).withColumnRenamed("id", "doc_id")
+
+
+QUERIES["search_phrase"] = _searched
