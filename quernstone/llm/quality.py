@@ -160,7 +160,7 @@ def evidence(model: Model):
             toxic = np.array([model.toxicity(t, signs) for t in texts], float)
             yield pd.DataFrame({"quality": model.quality(figures), "toxic": np.maximum(toxic, model.toxic_prior)})
 
-    return own
+    return own.asNondeterministic()  # or a filter on it would run it once more, in a second worker
 
 
 def _logit(p):
