@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Broadcasts of id lists are made only when a count has shown at most this many ids (16 bytes each, about 16 MB);
 #: longer lists go by a shuffled join.
 BROADCAST_IDS = 1_000_000
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quernstone-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 

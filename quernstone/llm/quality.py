@@ -18,6 +18,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,23 +111,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     named = written(named.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named), "doc_id")
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(toxic: int, counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([toxic] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["toxic", "part", "n"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            for toxic, text in zip(b["toxic"], b["text"], strict=True):
+            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
                 mine = counts[int(toxic > 0)]
                 mine.update({p for w in set(_words(text.lower())) for p in parts(w)})
                 if len(mine) > KEPT_WORDS:
-                    yield pd.DataFrame({"toxic": int(toxic > 0), "part": list(mine), "n": list(mine.values())})
+                    yield told(int(toxic > 0), mine)
                     mine.clear()
         for k, mine in counts.items():
-            yield pd.DataFrame({"toxic": k, "part": list(mine), "n": list(mine.values())})
+            yield told(k, mine)
 
-    def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "toxic": b["toxic"], "figures": [make_up(t) for t in b["text"]], "copy": [int(x[0] >> np.uint64(1)) if len(x) else 0 for x in shingle_sets(b["text"].tolist(), 3)]})
+            held = b.column("text").to_pylist()
+            copies = [int(x[0] >> np.uint64(1)) if len(x) else 0 for x in shingle_sets(held, 3)]
+            own = pa.array([list(map(float, make_up(t))) for t in held], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), own, pa.array(copies, pa.int64())], ["doc_id", "quality", "toxic", "figures", "copy"])
 
-    rows = texts.mapInPandas(figures, "doc_id long, quality int, toxic int, figures array<double>, copy long").orderBy("doc_id").limit(2 * sample).toPandas()
+    rows = texts.mapInArrow(figures, "doc_id long, quality int, toxic int, figures array<double>, copy long").orderBy("doc_id").limit(2 * sample).toPandas()
     if rows.empty:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), 30.0), {}, -30.0)
     x, y = np.array(rows["figures"].tolist()), (rows["quality"] > 0).to_numpy().astype(float)
@@ -137,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1 = int((own["toxic"] > 0).sum())
     n0 = len(own) - n1
     texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(own[["doc_id"]])), "doc_id", "left_semi")
-    spread = texts.mapInPandas(reduce, "toxic int, part string, n long")
+    spread = texts.mapInArrow(reduce, "toxic int, part string, n long")
     a, b = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     base = (n1 + 0.5) / (n1 + n0 + 1.0)
     share = F.col("a") / (F.col("a") + F.col("b"))
