@@ -30,7 +30,7 @@ def like_pattern(value: str) -> str:
         else:
             out += {"%": ".*", "_": "."}.get(c) or (re.escape(c) if c.isascii() else c)
         at += 1
-    return f"(?isu)^{out}$"
+    return rf"(?isu)\A{out}\z"
 
 
 def literal(value) -> Column:

@@ -168,11 +168,12 @@ class Database:
                     rows = rows.withColumn(col, F.lit(None).cast("long"))
                 rows = rows.crossJoin(F.broadcast(start)).withColumn("_i", F.monotonically_increasing_id())
                 n = F.row_number().over(W.partitionBy(F.col(quoted(col)).isNull()).orderBy("_i"))
-                rows = rows.withColumn(col, F.coalesce(F.col(quoted(col)).cast("long"), F.col("m") + n)).drop("m", "_i")
+                rows = rows.withColumn(col, F.coalesce(F.col(quoted(col)).try_cast("long"), F.col("m") + n)).drop("m", "_i")
                 c = F.col(quoted(col))
             elif "default" in props:
                 d = props["default"]
-                c = F.coalesce(c, d(rows) if callable(d) else F.lit(d))
+                d = d(rows) if callable(d) else F.lit(d)
+                c = F.coalesce(c.cast("string"), d.cast("string")) if kind in ("int", "float", "number") else F.coalesce(c, d)
             wide = type_of(kind or "any", props.get("model"))
             c = c.cast(wide) if isinstance(wide, (T.StructType, T.MapType)) else F.when(c.isNotNull(), cast(rows, c, kind)) if not kind.endswith("[]") else F.transform(F.coalesce(c, F.array().cast(wide)), lambda x, k=kind: cast(rows.select(F.lit(0)), x, k[:-2]))
             c = c.cast(wide)
