@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +57,7 @@ STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic",
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+@lru_cache(200_000)
 def stem(w: str) -> str:
     """Porter's stem of a lower-case word."""
     if len(w) < 3:
@@ -94,6 +96,7 @@ def stem(w: str) -> str:
 SOUNDS = [(re.compile(p), s) for p, s in ((r"^(?:ae)", "E"), (r"^(?:gn|kn|pn|wr)", ""), (r"^x", "S"), (r"^wh", "W"), (r"mb$", "M"), (r"sch", "SK"), (r"tch", "X"), (r"cia|ch", "X"), (r"c(?=[iey])", "S"), (r"ck", "K"), (r"[cq]", "K"), (r"dg(?=[eiy])", "J"), (r"d", "T"), (r"gh(?![aeiou]|$)|gh$", ""), (r"gn(?=ed$|$)", "N"), (r"g(?=[iey])", "J"), (r"g", "K"), (r"ph", "F"), (r"sh|si(?=[oa])|ti(?=[oa])", "X"), (r"th", "0"), (r"v", "F"), (r"x", "KS"), (r"z", "S"), (r"[wy](?![aeiou])", ""), (r"(?<=[aeiou])h(?![aeiou])", ""))]
 
 
+@lru_cache(200_000)
 def metaphone(word: str) -> str:
     word = re.sub(r"([abd-z])\1", r"\1", word.lower())
     first = {"kn": "N", "gn": "N", "pn": "N", "wr": "R"}.get(word[:2], "")
