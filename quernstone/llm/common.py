@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: set[str]) -> str:
+    """A column name that is not among those taken (in lower case, as Spark compares names)."""
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, written
+from .common import BROADCAST_IDS, free, written
 from .near_dup import shingle_sets
 
 #: Labelled rows that the classifiers are fitted on: those of the smallest hash. Bounds the driver's memory.
@@ -209,14 +209,18 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     """docs with a struct column _judged: quality and toxic (posterior probabilities) and kept (quality >= 0.5 > toxic).
 
     A null text counts as empty, a null source or language as ''; repeated rows are judged alike; an empty table stays
-    empty; a column _judged in docs is replaced. The texts are not exchanged unless there are over BROADCAST_IDS paths."""
+    empty; a column _judged in docs is replaced, all other columns come back as they are. The texts are not exchanged unless there are over BROADCAST_IDS paths."""
     model = fit(docs, labels, sample)
     own = evidence(model)
-    scored = docs.drop("_judged").withColumns({"_own": own(F.coalesce("text", F.lit(""))), "_host": F.coalesce("source", F.lit("")), "_path": F.coalesce("lang", F.lit(""))})
-    shifts = written(sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_own").alias("own")))).withColumnsRenamed({"host": "_host", "path": "_path"})
+    docs = docs.drop("_judged")
+    taken = {c.lower() for c in docs.columns}
+    o, h, p, q, t = (free(c, taken) for c in ("_own", "_host", "_path", "_shift_quality", "_shift_toxic"))
+    scored = docs.withColumns({o: own(F.coalesce("text", F.lit(""))), h: F.coalesce("source", F.lit("")), p: F.coalesce("lang", F.lit(""))})
+    shifts = written(sites(scored.select(F.col(h).alias("host"), F.col(p).alias("path"), F.col(o).alias("own"))))
+    shifts = shifts.withColumnsRenamed({"host": h, "path": p, "shift_quality": q, "shift_toxic": t})
     if shifts.count() <= BROADCAST_IDS:
         shifts = F.broadcast(shifts)
-    both = scored.join(shifts, ["_host", "_path"], "left")
-    p = {k: 1 / (1 + F.exp(-(F.col(f"_own.{k}") + F.coalesce(f"shift_{k}", F.lit(0.0))))) for k in ("quality", "toxic")}
-    verdict = F.struct(p["quality"].alias("quality"), p["toxic"].alias("toxic"), ((p["quality"] >= 0.5) & (p["toxic"] < 0.5)).alias("kept"))
-    return both.withColumn("_judged", verdict).select(*docs.drop("_judged").columns, "_judged")
+    both = scored.join(shifts, [h, p], "left")
+    quality, toxic = (1 / (1 + F.exp(-(F.col(o)[k] + F.coalesce(s, F.lit(0.0))))) for k, s in (("quality", q), ("toxic", t)))
+    verdict = F.struct(quality.alias("quality"), toxic.alias("toxic"), ((quality >= 0.5) & (toxic < 0.5)).alias("kept"))
+    return both.withColumn("_judged", verdict).select(*(F.col(f"`{c}`") for c in docs.columns), "_judged")

@@ -162,6 +162,10 @@ def test_quality_rows(spark, odd):
     for lab in (labels, labels.limit(0)):
         assert quality.judged(odd, lab).count() == len(ODD)
     assert quality.judged(odd.limit(0), labels).count() == 0
+    clash = odd.withColumns({c: F.lit(c) for c in ("_own", "_HOST", "_path", "_judged", "host", "own", "shift_quality", "_shift_toxic")})
+    got = quality.judged(clash, labels)
+    assert got.columns == [*clash.drop("_judged").columns, "_judged"]
+    assert {(r["_own"], r["_HOST"], r["shift_quality"], r["_shift_toxic"]) for r in got.collect()} == {("_own", "_HOST", "shift_quality", "_shift_toxic")}
 
 
 def test_url_rules(spark):
