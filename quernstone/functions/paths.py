@@ -29,6 +29,11 @@ def _column(df: DataFrame, path: str) -> tuple[str, str]:
     raise ValueError(f"no column for {path!r} among {df.columns}")
 
 
+def reads(df: DataFrame, path: str, column: str) -> bool:
+    """Whether a path of df begins with that column."""
+    return _column(df, path)[0] == column
+
+
 def has(df: DataFrame, path: str) -> bool:
     try:
         resolve(df, path)

@@ -122,8 +122,8 @@ def join_condition(df: DataFrame, on) -> Column:
     return fold(on, one)
 
 
-def columns_in(where) -> list[str]:
-    """The paths on the left of all conditions; a function has none that can be seen."""
+def columns_in(where, both: bool = False) -> list[str]:
+    """The paths on the left of all conditions, or on both sides of them; a function has none that can be seen."""
     if callable(where):
         return ["?"]
     if is_condition(where):
@@ -135,6 +135,7 @@ def columns_in(where) -> list[str]:
             for a in n.args:
                 walk(a)
 
-        walk(parse(where[0]))
+        for side in (where[0], where[2]) if both else where[:1]:
+            walk(parse(side))
         return out
-    return [p for x in where if not isinstance(x, str) for p in columns_in(x)]
+    return [p for x in where if not isinstance(x, str) for p in columns_in(x, both)]

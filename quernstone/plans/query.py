@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from ..functions import expressions as E
 from ..functions.aggregates import number
-from ..functions.paths import has, kind_of, quoted, resolve
+from ..functions.paths import has, kind_of, quoted, reads
 from ..operators.predicates import columns_in, condition, fold, is_condition, join_condition
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
@@ -207,11 +207,15 @@ def _with_graph(q: Query, df: DataFrame, g: dict) -> DataFrame:
     for inner in g.get("graph", []) if isinstance(g.get("graph", []), list) else [g["graph"]]:
         child = _with_graph(q._with(source=side["table"], name=name), child, inner)
     parent = q.name or (q.source if isinstance(q.source, str) else "_parent")
-    df = df.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in df.columns else df
-    left = qualified(df.drop("_row"), parent) if not q.joins else df.drop("_row")
+    left = df if q.joins else qualified(df, parent)
     right = qualified(child, name)
-    keyed = left.toDF(*left.columns)
-    rows = df.select("_row", *(F.col(quoted(c)).alias(n) for c, n in zip((c for c in df.columns if c != "_row"), keyed.columns, strict=True)))
+    empty = left.limit(0).crossJoin(right.limit(0))
+    seen = columns_in(g["on"], both=True)
+    # children are gathered once for each combination of the parents' columns that the condition reads
+    needed = [n for n, (_, k) in zip(left.columns, df.dtypes, strict=True) if not k.startswith(("map", "variant")) and ("?" in seen or any(reads(empty, p, n) for p in seen))]
+    own = dict(zip(left.columns, df.columns, strict=True))
+    df = df.withColumn("_row", F.struct(*(F.col(quoted(own[n])).alias(f"k{i}") for i, n in enumerate(needed))) if needed else F.lit(0))
+    rows = df.select("_row").distinct().select("_row", *(F.col(f"_row.k{i}").alias(n) for i, n in enumerate(needed)))
     both = rows.limit(0).crossJoin(right.limit(0))
     met = rows.join(right, join_condition(both, g["on"]), "inner")
     kids = met.select("_row", *(F.col(quoted(f"{name}.{c}")).alias(c) for c in child.columns))

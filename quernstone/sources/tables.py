@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import copy
+import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from ..functions.paths import quoted
+from ..functions.paths import has, quoted, resolve
 from ..functions.scalars import cast
 from ..operators.predicates import condition
+from ..plans.numbering import numbered
 from ..plans.query import Query
 
 KINDS = {"int": T.LongType(), "number": T.DoubleType(), "float": T.DoubleType(), "bool": T.BooleanType(), "boolean": T.BooleanType(), "date": T.TimestampType(), "blob": T.BinaryType(), "geo": T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])}
@@ -57,7 +60,10 @@ class Database:
         self.actions: dict[str, Callable] = {}
         self.presets: dict[str, Callable[..., Query]] = {}
         self.changes: list[Callable[[str, str, DataFrame], None]] = []
+        self.path_changes: list[tuple[str, str, Callable[[DataFrame], None]]] = []
         self.caches: dict[str, DataFrame] = {}
+        self.version = 0
+        self._held: list[Callable[[], None]] | None = None  # events of a transaction that is open
 
     # definition
     def attach(self, name: str, df: DataFrame, pk: str | None = None) -> None:
@@ -112,9 +118,41 @@ class Database:
             value = f(value, *more)
         return value
 
+    def define(self, name: str, make: Callable[..., Query], args: dict | None = None) -> None:
+        """A preset query. args ({"least:int": {"default": 0}}) names its parameters: values are cast, others refused."""
+        self.presets[name] = make if args is None else lambda db, **given: make(db, **_arguments(name, args, given))
+
     def preset(self, name: str, **args) -> Query:
         return self.presets[name](self, **args)
 
+    def on_path(self, table: str, path: str, f: Callable[[DataFrame], None]) -> None:
+        """f gets the key, old and new value of each row whose value at path an upsert or update has changed."""
+        self.path_changes.append((table, path, f))
+
+    @contextmanager
+    def transaction(self) -> Iterator[Database]:
+        """All changes to tables in the block, or none if it raises; events wait for its end. Tables are immutable
+        DataFrames, so what is kept for going back are only their plans."""
+        if self._held is not None:
+            raise RuntimeError("a transaction is open")
+        before, self._held = {n: copy.copy(t) for n, t in self.tables.items()}, []
+        try:
+            yield self
+        except BaseException:
+            self.tables, self._held = before, None
+            raise
+        told, self._held = self._held, None
+        for event in told:
+            event()
+
+    def migrate(self, target: int, step: Callable[[Database, int], int]) -> None:
+        """Calls step(database, version), which gives the version it has reached, until that is target."""
+        while self.version != target:
+            reached = step(self, self.version)
+            if reached == self.version:
+                raise ValueError(f"the step from version {reached} does not lead on to {target}")
+            self.version = reached
+
     def do_action(self, name: str, **args):
         return self.actions[name](self, **args)
 
@@ -134,12 +172,9 @@ class Database:
         return self.spark.createDataFrame(source)
 
     def page(self, key: str, q: Query | None, offset: int, limit: int) -> DataFrame:
-        """Pages of a result that is made once. Rows are numbered by one pass over the kept partitions."""
+        """Pages of a result that is made once."""
         if key not in self.caches:
-            rows = q.df()
-            w = W.orderBy("_i")
-            numbered = rows.withColumn("_i", F.monotonically_increasing_id())
-            self.caches[key] = numbered.withColumn("_n", F.row_number().over(w)).drop("_i").persist()
+            self.caches[key] = numbered(q.df(), "_n")
         return self.caches[key].where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).drop("_n")
 
     def clear_cache(self, key: str) -> None:
@@ -166,9 +201,10 @@ class Database:
                 start = t.df.agg(F.coalesce(F.max(quoted(col)), F.lit(0)).alias("m"))
                 if col not in rows.columns:
                     rows = rows.withColumn(col, F.lit(None).cast("long"))
-                rows = rows.crossJoin(F.broadcast(start)).withColumn("_i", F.monotonically_increasing_id())
-                n = F.row_number().over(W.partitionBy(F.col(quoted(col)).isNull()).orderBy("_i"))
-                rows = rows.withColumn(col, F.coalesce(F.col(quoted(col)).try_cast("long"), F.col("m") + n)).drop("m", "_i")
+                whole = rows.withColumn(col, F.col(quoted(col)).try_cast("long"))
+                fresh = numbered(whole.where(F.col(quoted(col)).isNull()), "_n").crossJoin(F.broadcast(start))
+                fresh = fresh.withColumn(col, F.col("m") + F.col("_n")).select(*map(quoted, rows.columns))
+                rows = whole.where(F.col(quoted(col)).isNotNull()).select(*map(quoted, rows.columns)).unionAll(fresh)
                 c = F.col(quoted(col))
             elif "default" in props:
                 d = props["default"]
@@ -204,8 +240,8 @@ class Database:
                 return F.when(F.col(f"o.{quoted(t.pk)}").isNull(), patch).otherwise(old)
             return F.coalesce(old, patch) if c in frozen else F.coalesce(patch, old)
 
-        t.df = both.select(*(merged(c).alias(c) for c in columns))
-        self._changed(name, "upsert", new)
+        before, t.df = t.df, both.select(*(merged(c).alias(c) for c in columns))
+        self._changed(name, "upsert", new, before)
         return new
 
     def update(self, name: str, patch: dict, where=None) -> DataFrame:
@@ -221,7 +257,7 @@ class Database:
             df = df.withColumn(top, F.when(hit, v).otherwise(old))
         t.df = df
         changed = before.where(hit)
-        self._changed(name, "upsert", changed)
+        self._changed(name, "upsert", changed, before)
         return changed
 
     def delete(self, name: str, where=None) -> DataFrame:
@@ -279,9 +315,16 @@ class Database:
                 if fk and fk["target"].partition(".")[0] == name:
                     yield t.name, fk | {"column": key.partition(":")[0]}
 
-    def _changed(self, name: str, what: str, rows: DataFrame) -> None:
-        for f in self.changes:
-            f(name, what, rows)
+    def _changed(self, name: str, what: str, rows: DataFrame, before: DataFrame | None = None) -> None:
+        events = [lambda f=f: f(name, what, rows) for f in self.changes]
+        for table, path, f in self.path_changes:
+            if table == name and before is not None:
+                events.append(lambda f=f, changed=_changed_at(before, self.tables[name].df, self.tables[name].pk, path): f(changed))
+        if self._held is not None:
+            self._held += events
+            return
+        for event in events:
+            event()
 
     # SQL text
     def sql(self, text: str) -> DataFrame:
@@ -290,3 +333,37 @@ class Database:
         for t in self.tables.values():
             t.df.createOrReplaceTempView(t.name)
         return self.spark.sql(translate(text))
+
+
+def _changed_at(before: DataFrame, after: DataFrame, pk: str, path: str) -> DataFrame:
+    """(key, old, new) of the rows whose value at path differs; a row or a path that was not there counts as null."""
+    pick = lambda df, name: df.select(F.col(quoted(pk)).alias("key"), (resolve(df, path) if has(df, path) else F.lit(None)).alias(name))
+    return pick(after, "new").join(pick(before, "old"), "key", "left").where(~F.col("old").eqNullSafe(F.col("new"))).select("key", "old", "new")
+
+
+def _arguments(name: str, known: dict, given: dict) -> dict:
+    kinds = {k.partition(":")[0]: (k.partition(":")[2], props) for k, props in known.items()}
+    if strange := set(given) - set(kinds):
+        raise ValueError(f"{name} has no parameter {sorted(strange)}")
+    out = {}
+    for k, (kind, props) in kinds.items():
+        v = given.get(k, props.get("default"))
+        if v is None and props.get("notNull"):
+            raise ValueError(f"{name} needs {k}")
+        out[k] = v if v is None else _argument(v, kind)
+    return out
+
+
+def _argument(v, kind: str):
+    """A value from outside, cast as the data model casts columns."""
+    if kind.endswith("[]"):
+        return [_argument(x, kind[:-2]) for x in v]
+    if kind in ("int", "float", "number"):
+        try:
+            n = float(v)
+        except (TypeError, ValueError):
+            n = 0.0
+        return math.floor(n + 0.5) if kind == "int" else n
+    if kind in ("bool", "boolean"):
+        return v in (True, 1, "true", "1")
+    return str(v) if kind in ("string", "uuid") else v

@@ -1,9 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import helpers
 from quernstone.functions import search as S
 from quernstone.functions.expressions import parse
+from quernstone.plans.numbering import numbered
 from quernstone.sources.formats import csv_lines, dump, load_dump, read_csv
+from quernstone.sources.jdbc import read_jdbc, write_jdbc
 from quernstone.sources.tables import Database
 from quernstone.streaming.changes import ChangeLog, listen, windowed
 
@@ -109,3 +112,62 @@ def test_windows_on_a_stream(spark, data, tmp_path):
     q = windowed(events, "1 day").writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")).repartition(7).orderBy("v")
+    assert [(r["v"], r["n"]) for r in numbered(df, "n").orderBy("v").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(df.limit(0), "n").count() == 0
+    d = Database(spark)
+    d.create_table("k", {"id:int": {"pk": True, "ai": True}, "v:int": {}})
+    d.upsert("k", spark.range(40).select(F.when(F.col("id") == 39, 500).alias("id"), F.col("id").alias("v")).repartition(5))
+    assert sorted(r["id"] for r in d.rows("k").collect()) == [*range(1, 40), 500]
+
+
+def test_graph_of_repeated_and_null_parents(spark):
+    d = Database(spark)
+    d.attach("p", spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (2, 5, "a"), (3, None, "b"), (4, 9, None)], "id int, k int, s string"))
+    d.attach("c", spark.createDataFrame([(10, 5), (11, 5), (12, None)], "cid int, k int"))
+    for on in (["p.k", "=", "c.k"], lambda df: F.col("`p.k`") == F.col("`c.k`")):
+        got = d.query("p").graph({"key": "kids", "with": {"table": "c"}, "on": on, "select": ["cid"], "orderBy": ["cid DESC"]}).exec()
+        kids = lambda i: [[k["cid"] for k in r["kids"]] for r in got if r["id"] == i]  # noqa: B023, E731
+        assert (kids(1), kids(2), kids(4)) == ([[11, 10]], [[11, 10]] * 2, [[]]) and len(got) == 5
+
+
+def test_transactions_paths_presets_and_versions(spark):
+    d, told, moved = Database(spark), [], []
+    d.attach("t", spark.createDataFrame([(1, ("x", 1)), (2, ("y", 2))], "id int, a struct<b: string, c: int>"))
+    d.changes.append(lambda name, what, rows: told.append(what))
+    d.on_path("t", "a.c", lambda rows: moved.extend(map(tuple, rows.collect())))
+    with pytest.raises(ZeroDivisionError), d.transaction():
+        d.delete("t", ["id", "=", 1])
+        raise ZeroDivisionError
+    assert d.rows("t").count() == 2 and not told
+    with d.transaction():
+        d.update("t", {"a.c": 7}, ["id", "=", 1])
+        d.update("t", {"a.b": "z"}, ["id", "=", 2])
+        assert not told
+    assert told == ["upsert", "upsert"] and moved == [(1, 1, 7)]
+    d.define("from", lambda db, least: db.query("t").where(["id", ">=", least]), {"least:int": {"default": 1}})
+    assert ids(d.preset("from", least="1.6")) == [2] and ids(d.preset("from")) == [1, 2]
+    with pytest.raises(ValueError):
+        d.preset("from", most=1)
+    d.migrate(3, lambda db, v: v + 1)
+    assert d.version == 3
+    with pytest.raises(ValueError):
+        d.migrate(4, lambda db, v: v)
+
+
+def test_helpers(spark):
+    r = spark.createDataFrame([("hELLO  wörld!",)], "s string").select(helpers.title_case(F.col("s")), helpers.slug(F.col("s"))).first()
+    assert tuple(r) == ("Hello  wörld!", "hello-wrld")
+    assert [x["n"] for x in helpers.every(spark, 10, 5, 1).collect()] == [1, 6, 11]
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    write_jdbc(spark.range(100).select(F.col("id").alias("ID"), (F.col("id") % 7).alias("V")), url, "T", "overwrite", parts=2, **driver)
+    df = read_jdbc(spark, url, "T", key="ID", parts=4, **driver)
+    assert df.rdd.getNumPartitions() == 4 and df.where("V = 3").count() == 14
+    assert read_jdbc(spark, url, "T", **driver).agg(F.sum("ID")).first()[0] == 4950
