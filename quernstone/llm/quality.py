@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from operator import eq
 
 import numpy as np
@@ -37,8 +39,17 @@ EVIDENCE, LEAST_SHARE = 14.0, 0.95
 #: Runs whose sign a task keeps (about 150 bytes each) before it starts anew; no result depends on it.
 KEPT_WORDS = 200_000
 _words = re.compile(r"\w+").findall
-_plain = np.zeros(256, bool)
-_plain[[*range(33), *map(ord, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz.,;:!?'\"()-"), *range(127, 256)]] = True
+
+
+@cache
+def odd_signs() -> np.ndarray:
+    """Per code point, whether it is an odd sign: none of letters, digits, _, combining marks (they are parts of words),
+    white space and common punctuation."""
+    every = "".join(map(chr, range(0x110000)))
+    odd = np.ones(len(every), bool)
+    odd[[m.start() for m in re.finditer(r"[\w\s.,;:!?'\"()-]", every)]] = False
+    odd[[i for i, c in enumerate(every) if unicodedata.category(c)[0] == "M"]] = False
+    return odd
 
 
 def make_up(text: str | None) -> list[float]:
@@ -49,7 +60,11 @@ def make_up(text: str | None) -> list[float]:
     signs = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     caps = sum(map(str.isupper, words))
     again = sum(map(eq, words, words[1:]))
-    odd, digits = int(signs[~_plain].sum()), int(signs[48:58].sum())
+    if text.isascii():
+        odd = int(signs[:128][odd_signs()[:128]].sum())
+    else:
+        odd = int(np.count_nonzero(odd_signs()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]))
+    digits = int(signs[48:58].sum())
     return [caps / k, signs[33] / n, signs[124] / n, odd / n, again / k, len(set(words)) / k**0.8, math.log1p(len(words)), len(text) / k / 10, digits / n]
 
 

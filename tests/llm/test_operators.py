@@ -148,6 +148,13 @@ def test_near_duplicate_rows(spark, odd):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_quality_odd_signs():
+    counted = lambda x: round(quality.make_up(x)[3] * len(x))
+    assert counted("★★★ ■■■ ◆◆ \ufffd\ufffd\ufffd •••") == 14 and counted("### $$$ &&&") == 9
+    assert counted("é漢 word, naïve; हिन्दी 100 (x) - y") == 0 and counted("→ 😀 # é") == 3
+    assert counted("a\x00b\x7f") == 2 == counted("é\x00b\x7f")
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
