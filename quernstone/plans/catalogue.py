@@ -177,6 +177,19 @@ def _join(name: str, kind: str, sql: str, where=None) -> None:
 
 for _name, _kind, _sql in (("inner", "inner", ""), ("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("full", "outer", "FULL")):
     _join(_name, _kind, _sql)
+
+
+# the same over all suppliers; every ninth one's nation is null, so that there are rows without a match
+def _join_all(name: str, kind: str, sql: str) -> None:
+    def build(db: Database) -> Query:
+        nation = F.when(F.col("s_suppkey") % 9 != 0, F.col("s_nationkey"))
+        return db.query(db.rows("supplier").withColumn("s_nationkey", nation), "s").join({"type": kind, "with": {"table": "nation", "as": "n"}, "on": ["s.s_nationkey", "=", "n.n_nationkey"]}).select(["s.s_suppkey AS k", "s.s_name AS a", "n.n_name AS b"])
+
+    add(f"join_{name}_all", build, f"SELECT s_suppkey AS k, s_name AS a, n_name AS b FROM (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 9 <> 0 THEN s_nationkey END AS k FROM supplier) {sql} JOIN nation ON k = n_nationkey")
+
+
+for _name, _kind, _sql in (("inner", "inner", ""), ("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("full", "outer", "FULL")):
+    _join_all(_name, _kind, _sql)
 add("join_cross", lambda db: db.query("region").join({"type": "cross", "with": {"table": "nation"}}).select(["region.r_name AS a", "nation.n_name AS b"]), "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation")
 add("join_flat_names", lambda db: db.query("nation").join({"type": "inner", "with": {"table": "region"}, "on": ["nation.n_regionkey", "=", "region.r_regionkey"]}), "SELECT n_nationkey AS \"nation.n_nationkey\", n_name AS \"nation.n_name\", n_regionkey AS \"nation.n_regionkey\", r_regionkey AS \"region.r_regionkey\", r_name AS \"region.r_name\" FROM nation JOIN region ON n_regionkey = r_regionkey")
 add("join_theta", lambda db: db.query("supplier").join({"type": "inner", "with": {"table": "nation"}, "on": [["supplier.s_nationkey", "<", "nation.n_nationkey"], "AND", ["nation.n_regionkey", "=", "supplier.s_nationkey"]]}).select(["supplier.s_suppkey AS a", "nation.n_nationkey AS b"]), "SELECT s_suppkey AS a, n_nationkey AS b FROM supplier JOIN nation ON s_nationkey < n_nationkey AND n_regionkey = s_nationkey")

@@ -38,6 +38,15 @@ def test_query(spark, data, oracle, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "full"])
+def test_joins_of_all_suppliers(spark, data, oracle, kind):
+    all_keys = {r[0] for r in oracle.sql("SELECT s_suppkey FROM supplier").fetchall()}
+    got = QUERIES[f"join_{kind}_all"](spark, data).collect()
+    found = {r["k"] for r in got} - {None}
+    assert found == (all_keys if kind in ("left", "full") else {k for k in all_keys if k % 9})
+    assert len(found) > len(all_keys) / 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
