@@ -206,6 +206,7 @@ _orders = {"key": "kids", "with": {"table": "orders"}, "on": ["customer.c_custke
 
 def _graph(name: str, spec: dict, flat: Callable[[DataFrame], DataFrame], sql: str) -> None:
     add(f"graph_{name}", lambda db: flat(db.query("customer").where(["c_custkey", "<=", 300]).graph(_orders | spec).df()), sql)
+    add(f"graph_{name}_all", lambda db: flat(db.query("customer").graph(_orders | spec).df()), sql.replace(_c, "customer"))
 
 
 _c = "(SELECT * FROM customer WHERE c_custkey <= 300)"

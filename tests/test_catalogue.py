@@ -8,6 +8,7 @@ import pytest
 
 from quernstone.plans.catalogue import ORACLE_SQL, QUERIES
 
+LARGER = "/root/testdata/sf0.01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -38,6 +39,16 @@ def test_query(spark, data, oracle, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["basic", "select", "single", "aggregate", "nested"])
+def test_graphs_of_all_customers(spark, name):
+    with duckdb.connect() as c:
+        for t in TABLES:
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{LARGER}/{t}.parquet'")
+        df, want = QUERIES[f"graph_{name}_all"](spark, LARGER), c.sql(ORACLE_SQL[f"graph_{name}_all"])
+        assert rows(df.columns, got := df.collect()) == rows(want.columns, want.fetchall())
+        assert max(r["c_custkey"] for r in got) > 300
+
+
 @pytest.mark.parametrize("kind", ["inner", "left", "right", "full"])
 def test_joins_of_all_suppliers(spark, data, oracle, kind):
     all_keys = {r[0] for r in oracle.sql("SELECT s_suppkey FROM supplier").fetchall()}
