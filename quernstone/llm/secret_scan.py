@@ -27,14 +27,20 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]{16,}")
 _hex = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _jwt = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: 40 characters are 30 bytes, fewer than any private key has; line breaks may stand inside (as in PEM bodies).
-_coded = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Characters of base64; five dashes are the rule of a PEM header or footer, even on the line of the key itself.
+_char = r"(?:[A-Za-z0-9+/_]|-(?!----))"
+#: A line break, or one that is escaped as in JSON, once or more.
+_newline = r"(?:\r?\n|(?:\\+r)?\\+n)"
+_break, _line, _lines = re.compile(_newline), re.compile(f"{_char}+"), re.compile(rf"{_char}+(?:{_newline}[A-Za-z0-9+/]{{4,}})*(?:{_newline}[A-Za-z0-9+/]{{2,3}}(?==))?={{0,2}}")
+#: A sequence's tag and length in base64, wherever it stands. 40 characters are 30 bytes, fewer than any private key has.
+_sequence = re.compile(r"M(?=(?:[A-H]|I[G-T])[A-Za-z0-9+/_-]{38})")
+_magic = re.compile(r"b3BlbnNzaC1rZXktdjEA(?=[A-Za-z0-9+/_-]{20})")
 _hexed = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 _quick = ("passw", "secret", "token", "api")
 
 
 def _base64(text: str) -> bytes | None:
-    body = re.sub(r"[\r\n=]", "", text).replace("-", "+").replace("_", "/")
+    body = _break.sub("", text).replace("=", "").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -88,27 +94,35 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def _der_chars(run: str) -> int:
-    """How much of a run of base64 the DER element at its start takes, line breaks and padding included; 0 if it is cut
-    short or its last line goes on."""
-    head = _base64(run[:8])
-    if head is None or head[0] != 0x30:
+def _der_end(text: str, start: int) -> int:
+    """Where the base64 of a private key in DER that begins at start ends, padding included; 0 if none does, if it is cut
+    short or if its last line goes on."""
+    head = _base64(text[start : start + 16])
+    n = head[1] & 0x7F if head and head[1] & 0x80 else 0
+    if head is None or head[0] != 0x30 or n > 4:
         return 0
-    n = head[1] & 0x7F if head[1] & 0x80 else 0
-    if n > 4:
+    # a version of 0 or 1, or an algorithm
+    if not (head[2 + n : 4 + n] == b"\x02\x01" and head[4 + n] <= 1 or head[2 + n] == 0x30):
         return 0
     need = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-    chars = -(-need * 4 // 3)
-    at = 0
-    for i, c in enumerate(run):
-        if c not in "\r\n":
-            at += 1
-        if at == chars:
-            end = i + 1
-            while end < len(run) and run[end] == "=":
-                end += 1
-            return end if end == len(run) or run[end] in "\r\n" else 0
-    return 0
+    left, at, found = -(-need * 4 // 3), start, []
+    while True:
+        if not (m := _line.match(text, at, at + left + 5)):  # 5 more, to see five dashes
+            return 0
+        found.append(m[0][:left])
+        left, at = left - len(found[-1]), at + len(found[-1])
+        if not left:
+            break
+        if not (m := _break.match(text, at)):
+            return 0
+        at = m.end()
+    end = at
+    while end < at + 2 and text[end : end + 1] == "=":
+        end += 1
+    if end == at and _line.match(text, at, at + 5):
+        return 0
+    data = _base64("".join(found))
+    return end if data is not None and is_private_der(data) else 0
 
 
 def is_private_ssh(data: bytes) -> bool:
@@ -151,15 +165,21 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _jwt.finditer(text) if is_token(m[0])]
-    for m in _coded.finditer(text):
-        # a key's first byte is 0x30 or the first letter of the magic
-        if m[0][0] == "M" and (size := _der_chars(m[0])) and (data := _base64(m[0][:size])) is not None and is_private_der(data):
-            out.append(("der", m.start(), m.start() + size))
-        elif m[0].startswith("b3BlbnNzaC1rZXktdjEA"):
-            for run in (m[0], m[0].splitlines()[0]):  # what stands on the next line may be plain text
-                if (data := _base64(run)) is not None and is_private_ssh(data):
-                    out.append(("ssh", m.start(), m.start() + len(run)))
-                    break
+    past = 0  # the end of the last key, as keys hold sequences too
+    for m in _sequence.finditer(text):
+        if m.start() >= past and (end := _der_end(text, m.start())):
+            out.append(("der", m.start(), end))
+            past = end
+    past = 0
+    for m in _magic.finditer(text):
+        if m.start() < past:
+            continue
+        for pattern in (_lines, _line):  # what stands on the next line may be plain text
+            run = pattern.match(text, m.start())
+            if (data := _base64(run[0])) is not None and is_private_ssh(data):
+                out.append(("ssh", *run.span()))
+                past = run.end()
+                break
     for m in _hexed.finditer(text):
         if m[0].startswith("30") and is_private_der(bytes.fromhex(m[0])):
             out.append(("der", *m.span()))

@@ -201,6 +201,40 @@ def test_secret_structures(spark, odd):
     assert secret_scan.scan(odd).count() == len(ODD) and secret_scan.redacted(odd).columns == odd.columns
 
 
+def element(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (k := (n.bit_length() + 7) // 8)]) + n.to_bytes(k, "big")) + body
+
+
+def test_secret_keys_wherever_they_start():
+    random.seed(6)
+    algorithm = element(0x30, element(0x06, b"\x2a\x86\x48\xce\x3d\x02\x01") + element(0x06, b"\x2b\x81\x04\x00\x23"))
+    keys = [element(0x30, element(2, b"\0") + algorithm + element(4, random.randbytes(n))) for n in (*range(32, 90), 200, 214, 215, 216, 1200)]  # PKCS #8
+    keys += [element(0x30, element(2, b"\0") + b"".join(element(2, b"\x01" + random.randbytes(n)) for _ in range(8))) for n in (20, 64, 200)]  # PKCS #1
+    keys += [element(0x30, element(2, b"\1") + element(4, random.randbytes(66)) + element(0xA0, element(0x06, b"\x2b\x81\x04\x00\x23")))]  # SEC 1
+    name = "PRIVATE KEY-----"
+    assert any(len(k) % 48 == 1 for k in keys) and any(len(k) % 48 == 2 for k in keys)
+    for key in keys:
+        assert secret_scan.is_private_der(key)
+        text = base64.b64encode(key).decode()
+        for newline in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+            body = newline.join(text[i : i + 64] for i in range(0, len(text), 64))
+            for before, after in (("-----BEGIN " + name + newline, newline + "-----END " + name), ('{"private_key": "-----BEGIN ' + name + newline, newline + "-----END " + name + newline + '"}'), ("-", " x"), ("_", ""), ("/", "\n"), ("abc", ".")):
+                assert secret_scan.confirmed_spans(before + body + after) == [("der", len(before), len(before + body))], (len(key), newline, before)
+        for before, after in (("-----BEGIN " + name, "-----END " + name), ("key=", "")):
+            assert secret_scan.redact(before + text + after) == before + "[SECRET]" + after
+        assert secret_scan.confirmed_spans("-----BEGIN " + name + text[: len(text) // 2] + "-----END " + name) == []
+        assert len(key) % 3 or secret_scan.confirmed_spans(text + "abc") == []
+    assert secret_scan.confirmed_spans("MII" * 5000 + "MIIEMIIE" * 5000) == []
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    for n in (113, 136):  # 113: the last line is two characters and padding
+        text = base64.b64encode(b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(random.randbytes(51)) + part(random.randbytes(n))).decode()
+        for newline in ("\n", "\\n", ""):
+            body = newline.join(text[i : i + 70] for i in range(0, len(text), 70))
+            before, after = "-----BEGIN OPENSSH " + name + newline, newline + "-----END OPENSSH " + name
+            assert secret_scan.redact(before + body + after) == before + "[SECRET]" + after
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.2, 2, size=(3000, 1))
