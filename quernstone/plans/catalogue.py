@@ -11,6 +11,7 @@ from ..functions.scalars import within
 from ..sources.formats import csv_lines
 from ..sources.tables import Database
 from ..streaming.changes import sessions, windowed
+from .numbering import numbered
 from .query import Query
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -156,6 +157,9 @@ add("group_json_path", lambda db: db.query("events").select(["props.k AS k", "CO
 add("order_limit_offset", lambda db: db.query("customer").select(["c_custkey", "c_acctbal"]).order_by(["c_acctbal DESC", "c_custkey ASC"]).offset(5).limit(20), "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 5")
 add("order_by_function", lambda db: db.query("customer").select(["c_custkey"]).order_by(["UPPER(c_mktsegment) ASC", "c_custkey DESC"]).limit(15), "SELECT c_custkey FROM customer ORDER BY upper(c_mktsegment), c_custkey DESC LIMIT 15")
 add("order_nulls", lambda db: db.query(_nullable(db)).select(["c_custkey", "v"]).order_by({"v": "desc", "c_custkey": "asc"}).limit(30), f"SELECT c_custkey, v FROM {_customers} ORDER BY v DESC NULLS FIRST, c_custkey LIMIT 30")
+# the same with all rows and their places in the order
+add("order_by_function_all", lambda db: numbered(db.query("customer").select(["c_custkey"]).order_by(["UPPER(c_mktsegment) ASC", "c_custkey DESC"]).df(), "place"), "SELECT c_custkey, row_number() OVER (ORDER BY upper(c_mktsegment), c_custkey DESC) AS place FROM customer")
+add("order_nulls_all", lambda db: numbered(db.query(_nullable(db)).select(["c_custkey", "v"]).order_by({"v": "desc", "c_custkey": "asc"}).df(), "place"), f"SELECT c_custkey, v, row_number() OVER (ORDER BY v DESC NULLS FIRST, c_custkey) AS place FROM {_customers}")
 add("offset_only", lambda db: db.query("nation").order_by(["n_nationkey ASC"]).offset(20), "SELECT * FROM nation ORDER BY n_nationkey OFFSET 20")
 add("distinct_columns", lambda db: db.query("customer").distinct(["c_nationkey", _seg]), "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
 add("distinct_with_select", lambda db: db.query("customer").select(["c_custkey"]).distinct(["c_nationkey"]), "SELECT min(c_custkey) AS c_custkey, c_nationkey FROM customer GROUP BY c_nationkey")

@@ -58,6 +58,15 @@ def test_joins_of_all_suppliers(spark, data, oracle, kind):
     assert len(found) > len(all_keys) / 2
 
 
+@pytest.mark.parametrize("name", ["order_by_function", "order_nulls"])
+def test_orders_of_all_rows(spark, data, oracle, name):
+    got = QUERIES[f"{name}_all"](spark, data).collect()
+    assert len(got) == len(oracle.sql("SELECT c_custkey FROM customer").fetchall())
+    if name == "order_nulls":
+        nulls = [r["v"] is None for r in sorted(got, key=lambda r: r["place"])]
+        assert {True, False} == set(nulls) and nulls == sorted(nulls, reverse=True)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
