@@ -287,6 +287,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each class of near duplicates, the one of the smallest doc_id; of several rows with that
     doc_id, one stays if they are equal in all columns. Rows without words, or with a null doc_id, all stay."""
-    found = near_duplicates(docs, k, percent)
+    found = written(near_duplicates(docs, k, percent).where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "kept"))
     gone = written(found.where("NOT kept").select("doc_id").distinct())
-    return semi(docs.withColumn("doc_id", F.col("doc_id").cast("long")), gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(found.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    left = semi(docs.withColumn("doc_id", F.col("doc_id").cast("long")), gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    # only rows whose doc_id stands more than once are compared, so that no other text is exchanged
+    has_words = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    several = semi(left.where(has_words), again, "doc_id").select(*docs.columns).dropDuplicates()
+    single = semi(left.where(has_words), again, "doc_id", "left_anti").select(*docs.columns)
+    return left.where(~has_words).unionAll(single).unionAll(several)

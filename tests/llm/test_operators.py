@@ -148,6 +148,12 @@ def test_near_duplicate_rows(spark, odd):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_near_duplicates_leave_one_of_equal_rows(spark, odd):
+    more = odd.unionAll(odd.where("doc_id = 5").withColumn("lang", F.lit("de"))).unionAll(odd.where("doc_id IN (2, 4) OR doc_id IS NULL"))
+    got = sorted(((r["doc_id"], r["lang"]) for r in near_dup.without_near_duplicates(more).collect()), key=str)
+    assert got == sorted([(1, "en"), (2, "en"), (2, "en"), (3, "en"), (4, "en"), (5, "en"), (5, "de"), (None, "en"), (None, "en"), (6, "en"), (7, "en")], key=str)
+
+
 def test_quality_odd_signs():
     counted = lambda x: round(quality.make_up(x)[3] * len(x))
     assert counted("★★★ ■■■ ◆◆ \ufffd\ufffd\ufffd •••") == 14 and counted("### $$$ &&&") == 9
