@@ -34,7 +34,7 @@ from .components import components
 COORDINATES, PER_BAND = 128, 4
 BANDS = COORDINATES // PER_BAND
 #: Estimates under which a pair of stage 3 is dropped, by the sketch and by the finer sketch (4 bits a coordinate).
-LEAST_EQUAL, LEAST_FINE, FINE = 0.6, 0.74, 1024
+LEAST_EQUAL, LEAST_FINE, FINE = 0.6, 0.70, 1024
 BLOCK = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -148,6 +148,13 @@ def test_near_duplicate_rows(spark, odd):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_near_duplicate_sketches_keep_links():
+    """A pair at similarity 0.8 is over 5 deviations above the sketch's bound and over 7 above the finer one's."""
+    assert 0.8 - near_dup.LEAST_EQUAL > 5 * (0.8 * 0.2 / near_dup.COORDINATES) ** 0.5
+    equal, least = (x + (1 - x) / 16 for x in (0.8, near_dup.LEAST_FINE))
+    assert equal - least > 7 * (equal * (1 - equal) / near_dup.FINE) ** 0.5
+
+
 def test_near_duplicates_leave_one_of_equal_rows(spark, odd):
     more = odd.unionAll(odd.where("doc_id = 5").withColumn("lang", F.lit("de"))).unionAll(odd.where("doc_id IN (2, 4) OR doc_id IS NULL"))
     got = sorted(((r["doc_id"], r["lang"]) for r in near_dup.without_near_duplicates(more).collect()), key=str)
