@@ -1,10 +1,11 @@
-"""What the operators share: table access, tables written to the shared folder, batches of texts."""
+"""What the operators share: table access, tables written to the shared folder, hot keys, batches of texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 #: Broadcasts of id lists are made only when a count has shown at most this many ids (16 bytes each, about 16 MB);
 #: longer lists go by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Rows of one key that a task takes as they are; keys with more are dealt over several tasks.
+SPLIT = 256
 _own: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, and gives later joins true sizes."""
     path = f"{shared_dir(df.sparkSession)}/quernstone-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are removed at the end, except those made by the function that this gives, which
+    belong to the block around this one, if there is one."""
+    _scratch.append([])
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = written(df)
+        path = _scratch[-1].pop()
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)
+        return out
+
+    try:
+        yield kept
+    finally:
+        for path in _scratch.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """df with (left_semi) or without (left_anti) the rows whose key is in ids, a written table with that one column.
     The ids are broadcast only if their count is within BROADCAST_IDS; else both sides are shuffled."""
@@ -50,6 +77,28 @@ def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> Dat
     return df.join(ids, key, how)
 
 
+def too_many(total: int, at_most: int = BROADCAST_IDS) -> int:
+    """Keys that stand in more than this many of `total` rows are hot: over SPLIT rows, and over total / at_most. So there
+    are fewer than at_most such keys whatever the rows, and a table of them may be broadcast; and no task has more rows
+    of a key that is not hot than that share of all rows."""
+    return max(SPLIT, total // at_most)
+
+
+def hubs(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, parts) of the hot keys of rows, and over how many tasks to deal each."""
+    most = too_many(total)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") > most).withColumn("parts", F.ceil(F.col("parts") / most).cast("int"))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with found, whose keys are unique. hot has the columns of found for hot keys: it is
+    broadcast, and their rows are joined where they are; only the others are exchanged."""
+    more = [c for c in found.columns if c not in keys]
+    marked = rows.join(F.broadcast(hot.select(*keys, F.struct(*more).alias("_hot"))), keys, "left")
+    cold = marked.where("_hot IS NULL").select(*rows.columns).join(found, keys, how).select(*rows.columns, *more)
+    return cold.unionAll(marked.where("_hot IS NOT NULL").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in more)))
+
+
 def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` characters each, one text at least."""
     at, held = 0, 0

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, scratch, too_many, written
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """links (u, v), `total` of them, with m, the smallest v of all links of u. Minima are formed before the exchange."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return looked_up(links, least.drop("n"), ["u"], least.where(F.col("n") > too_many(total)).drop("n"), "inner")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,19 +19,19 @@ def components(links: DataFrame) -> DataFrame:
     links of a node to itself, are left out.
 
     Each round hangs every neighbour on the smallest one and is written to the shared folder, so the rounds are about the
-    logarithm of the longest path. A node with very many links costs no task more than others: minima are formed before
-    the exchange, and the join back to the links may be split."""
+    logarithm of the longest path. A node with very many links costs no task more than others."""
     links = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, mark = written(links), None
-    while True:
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: every node and its smaller neighbours hang on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        small = written(small)
-        now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        links, mark = small, now
+    with scratch(links.sparkSession) as kept:
+        links, mark = written(links), None
+        n = links.count()
+        while True:
+            both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = _with_least(both, 2 * n).withColumn("m", F.least("m", "u")).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            # small star: every node and its smaller neighbours hang on the smallest of them
+            ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+            small = written(_with_least(written(large), n).select(F.explode(ends).alias("e")).select("e.*").where("u != v").distinct())
+            now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark or not now[0]:
+                out = small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                return kept(out.unionAll(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+            links, mark, n = small, now, now[0]

@@ -15,7 +15,8 @@ Verification. Equal sets are one representative from the start. Then, over the r
    band. Two bounds drop pairs there without loss: the smaller set must have 80 of 100 of the larger one's size, and, as
    1 - similarity is a metric, the similarities to the band's centre may differ by 0.2 at most. Then pairs are dropped whose
    sketches estimate less than 0.6, or whose finer sketches of 1,024 coordinates, made for these members alone, estimate
-   less than 0.74 (at similarity 0.8 both are nearly five standard deviations away: about one link in a million).
+   less than 0.70 (at similarity 0.8 that is over five and over seven standard deviations away). With exact, nothing is
+   dropped by an estimate: all that the two bounds leave is compared.
 Each comparison is exact, on the full sets. Pairs inside one component are not compared, as no link of theirs can change it.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import semi, slices, written
+from .common import hubs, looked_up, scratch, semi, slices, too_many, written
 from .components import components
 
 COORDINATES, PER_BAND = 128, 4
@@ -143,7 +144,7 @@ def _finer(k: int):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) with the similarity of their sets, and linked: 100 * intersection >= percent * union."""
+    """pairs (a, b), a written table, with the similarity of their sets, and linked: 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,15 +167,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     # the smaller side of each pair may be a centre with very many partners: join it last, so that its text goes straight
-    # into the check and is not exchanged again with each partner
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, near double, linked boolean")
+    # into the check and is not exchanged again with each partner, and deal such a centre over several tasks
+    hot = F.broadcast(hubs(pairs, "a", pairs.count()))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    centres = side("a").join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(side("b"), "b").join(centres, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, near double, linked boolean")
 
 
-def _blocks(members: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, sketched: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a band and may be linked. members: key, band, rep, comp, near (the
-    similarity to the band's centre)."""
+    similarity to the band's centre). exact: no pair is dropped by an estimate."""
     count = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(count, "key").join(sketched, "rep")
+    rows = looked_up(members, count, ["key"], count.where(F.col("n") > too_many(members.count())), "inner").join(sketched, "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -204,11 +209,10 @@ def _blocks(members: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
                 for x in np.arange(start, end)[own[start:end] == i[start]]:
                     ys = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i[start] != j[start]))]
                     ys = ys[(abs(near[ys] - near[x]) <= 1 - percent / 100 + 1e-9) & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
-                    if not len(ys):
-                        continue
-                    ys = ys[(coords[ys] == coords[x]).mean(axis=1) >= LEAST_EQUAL]
-                    same = ((high[ys] == high[x]).mean(axis=1) + (low[ys] == low[x]).mean(axis=1)) / 2
-                    ys = ys[same >= LEAST_FINE + (1 - LEAST_FINE) / 16]  # one in 16 coordinates agrees by chance
+                    if len(ys) and not exact:
+                        ys = ys[(coords[ys] == coords[x]).mean(axis=1) >= LEAST_EQUAL]
+                        same = ((high[ys] == high[x]).mean(axis=1) + (low[ys] == low[x]).mean(axis=1)) / 2
+                        ys = ys[same >= LEAST_FINE + (1 - LEAST_FINE) / 16]  # one in 16 coordinates agrees by chance
                     if len(ys):  # a pair is given once, by the first band that it shares
                         ys = ys[(sig[ys] == sig[x]).argmax(axis=1) == band[x]]
                         out.append(np.column_stack([np.minimum(rep[ys], rep[x]), np.maximum(rep[ys], rep[x])]))
@@ -225,36 +229,58 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that can be reached by links of
-    similarity percent / 100 or more), kept (doc_id = component_id).
+    similarity percent / 100 or more), kept (doc_id = component_id). exact: in the last stage no pair is dropped by an
+    estimate, at the price of more comparisons.
 
     Words: runs of bytes other than space and 0x09-0x0D, A-Z lowered. Null, empty or blank texts have no shingles and
     are their own component. Rows that share a doc_id are one node, linked by whatever any of them is linked by, and each
     row has its own n_shingles. A null doc_id takes no part: component_id null, kept true. Other columns are left out; an
-    empty table gives an empty result."""
+    empty table gives an empty result. Of the tables written on the way only the two that the result reads stay."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    with scratch(docs.sparkSession) as kept:
+        sketched = kept(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+        classes = kept(_classes(docs, sketched, k, percent, exact))
+    # the copies of one text, and the rows without words, are joined where they are
+    empty = classes.sparkSession.createDataFrame([(0, 0, 0, None)], "n_shingles long, k1 long, k2 long, component_id long")
+    hot = classes.where(F.col("n") > too_many(sketched.count())).select(*empty.columns).unionAll(empty)
+    out = looked_up(sketched.select("doc_id", "n_shingles", "k1", "k2"), classes.select(*empty.columns), ["n_shingles", "k1", "k2"], hot)
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, sketched: DataFrame, k: int, percent: int, exact: bool) -> DataFrame:
+    """(n_shingles, k1, k2, rep, n, component_id) of each distinct set, which n rows have."""
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(known.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
+    reps = written(known.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     sets = known.join(reps.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
     spread = sets.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", "band", F.xxhash64("band", "value").alias("key"))
-    crowded = spread.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").select("key", "centre")
-    members = written(spread.join(crowded, "key"))
+    crowded = spread.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("centre < last")
+    crowded = written(crowded.select("key", "centre", "n"))
+    hot = crowded.where(F.col("n") > too_many(BANDS * reps.count())).drop("n")
+    members = written(looked_up(spread, crowded.drop("n"), ["key"], hot, "inner"))
     texts = written(semi(docs, written(members.select(F.col("rep").alias("doc_id")).distinct()), "doc_id"))
     to_centre = members.where("rep != centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("shared"))
     to_centre = written(to_centre.select(F.col("centre").alias("a"), F.col("rep").alias("b"), "shared"))
     best = to_centre.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     # rows that share a doc_id but not a set are one node: its representatives are linked
-    same = known.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["n_shingles", "k1", "k2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    sets_of = ["n_shingles", "k1", "k2"]
+    same = looked_up(known.select("doc_id", *sets_of), reps.drop("n"), sets_of, reps.where(F.col("n") > too_many(sketched.count())).drop("n"), "inner").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     own = same.join(reps.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    compared = written(_verified(best, texts, k, percent))
+    compared = written(_verified(written(best), texts, k, percent))
     links = written(compared.where("linked").select("a", "b").unionAll(own))
     comp = components(links)
 
+    hot_centres = written(hubs(to_centre, "a", to_centre.count()).select("a"))
+
     def placed(rows: DataFrame, node: str, name: str) -> DataFrame:
         found = comp.select(F.col("node").alias(node), F.col("component").alias(name))
-        return rows.join(found, node, "left").withColumn(name, F.coalesce(name, node))
+        if node == "a":  # a centre may have very many partners
+            out = looked_up(rows, found, ["a"], hot_centres.join(found, "a", "left"))
+        else:
+            out = rows.join(found, node, "left")
+        return out.withColumn(name, F.coalesce(name, node))
 
     def also(pairs: DataFrame) -> DataFrame:
         """Compares pairs, and takes their links in."""
@@ -269,19 +295,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = to_centre.select("a", "b").join(compared, ["a", "b"], "left_anti")
     compared = compared.unionAll(also(placed(placed(rest, "a", "x"), "b", "y").where("x != y").select("a", "b")))
     spots = placed(members, "rep", "comp")
-    mixed = spots.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    spots = written(spots.join(mixed, "key", "left_semi"))
+    mixed = written(spots.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y"))
+    hot = mixed.where(F.col("n") > too_many(members.count()))
+    spots = written(looked_up(spots, mixed, ["key"], hot, "inner").drop("x", "y", "n"))
     rest = spots.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     compared = compared.unionAll(also(rest))
     spots = placed(spots.drop("comp"), "rep", "comp").join(compared.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "near").distinct(), ["centre", "rep"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
     fine = semi(texts, written(spots.select(F.col("rep").alias("doc_id")).distinct()), "doc_id").mapInArrow(_finer(k), "rep long, fine binary")
-    pairs = _blocks(spots, written(sets.join(written(fine), "rep").distinct()), percent).distinct().join(compared, ["a", "b"], "left_anti")
+    pairs = _blocks(spots, written(sets.join(written(fine), "rep").distinct()), percent, exact).distinct().join(compared, ["a", "b"], "left_anti")
     also(pairs)
-    comp = written(comp)
-    classes = written(placed(reps, "rep", "component_id"))
-    out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(classes.drop("rep"), ["n_shingles", "k1", "k2"], "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return placed(reps, "rep", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
