@@ -24,13 +24,14 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Kept, slices
 
 #: Characters of a leaf, and of the longest text that is encoded in one piece.
 LEAF = 65_536
@@ -58,39 +59,10 @@ def load(name: str):
     return t
 
 
-@lru_cache(2)
-def _byte_chars(name: str) -> dict[int, str]:
-    """Byte -> its character in the vocabulary."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    split = ByteLevel(add_prefix_space=False, use_regex=False)
-    of = {}
-    for cp in [*range(0x80), *range(0x80, 0x800), 0x800, 0x1000, *range(0x1000, 0x10000, 0x1000), 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000]:
-        if 0xD800 <= cp < 0xE000:
-            continue
-        raw = chr(cp).encode()
-        word = split.pre_tokenize_str(chr(cp))[0][0]
-        of.update(zip(raw, word, strict=True))
-    return of
-
-
 #: The splitting pattern of byte-level BPE vocabularies of this kind; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a process keeps (about 200 bytes each) before it starts anew; no result depends on it.
-KEPT_WORDS = 300_000
-
-
-class Known(dict):
-    """Word -> its ids, 4 bytes each; None if it has a code point that is unassigned in this Python's Unicode tables."""
-
-    def __init__(self, library):
-        super().__init__()
-        self.library = library
-
-    def __missing__(self, word: str) -> bytes | None:
-        odd = not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
-        self[word] = out = None if odd else array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        return out
+#: Bytes that a process keeps of words and their ids.
+KEPT_BYTES = 64 << 20
 
 
 class Encoder:
@@ -110,7 +82,12 @@ class Encoder:
         self.special = {x["content"] for x in added}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if added else None
         self.find = regex.compile(PATTERN).findall
-        self.known = Known(self.library)
+        self.known = Kept(self._of_word, getsizeof, KEPT_BYTES)
+
+    def _of_word(self, word: str) -> bytes | None:
+        """A word's ids, 4 bytes each; None if it has a code point that is unassigned in this Python's Unicode tables."""
+        odd = not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+        return None if odd else array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def words(self, text: str) -> list[str] | None:
         """The words that text is split into; None: the library has to split it."""
@@ -120,8 +97,6 @@ class Encoder:
             words = [w for part in self.split(text) for w in ([part] if part in self.special else self.find(part))]
         else:
             words = self.find(text)
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         return words
 
     def ids(self, text: str) -> list[int]:
@@ -133,16 +108,17 @@ class Encoder:
 
     def piece(self, text: str) -> Piece:
         words = self.words(text)
-        if words is None or None in map(self.known.__getitem__, words):
+        packed = None if words is None else [*map(self.known.__getitem__, words)]
+        if packed is None or None in packed:
             return _true_starts(text, self.library.encode(text, add_special_tokens=False))
         starts, tokens = [], []
         at = n = 0
-        for w in words:
+        for w, x in zip(words, packed, strict=True):
             starts.append(at)
             tokens.append(n)
-            n += len(self.known[w]) // 4
+            n += len(x) // 4
             at += len(w)
-        return Piece(text, self.ids(text), starts, tokens)
+        return Piece(text, np.frombuffer(b"".join(packed), np.uint32).tolist(), starts, tokens)
 
 
 @lru_cache(2)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from sys import getsizeof
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,27 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame
     return cold.unionAll(marked.where("_hot IS NOT NULL").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in more)))
 
 
+class Kept(dict):
+    """What `make` gives for a word, kept by word. Words of over LONGEST characters are not kept, and all is forgotten
+    when the words and their results (of `size` bytes each, and the words') fill `most` bytes. No result depends on it."""
+
+    LONGEST = 64
+
+    def __init__(self, make: Callable[[str], object], size: Callable[[object], int], most: int):
+        super().__init__()
+        self.make, self.size, self.most, self.held = make, size, most, 0
+
+    def __missing__(self, word: str):
+        out = self.make(word)
+        if len(word) <= self.LONGEST:
+            self.held += getsizeof(word) + self.size(out) + 100  # 100: the table's own place for it
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = out
+        return out
+
+
 def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` characters each, one text at least."""
     at, held = 0, 0

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, load, tokenizer_path
-from .common import slices
+from .common import Kept, slices
 
 LIMIT = 512
-#: Distinct words whose counts a task keeps (about 120 bytes each) before it starts anew. Bounds memory; no result depends on it.
-KEPT_WORDS = 600_000
+#: Bytes that a process keeps of words and their counts.
+KEPT_BYTES = 96 << 20
 
 
 class Counter:
@@ -44,7 +44,7 @@ class Counter:
         chars = _chars_of_bytes()
         self.symbols = {b: c for b, c in enumerate(chars)}
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.known: dict[str, int | None] = {}
+        self.known = Kept(self.of_word, lambda n: 32, KEPT_BYTES)
 
     def merged(self, word: list[str]) -> int:
         """Tokens of one word, given as the symbols of its bytes."""
@@ -90,20 +90,10 @@ class Counter:
             total = len(parts) - 1
         known = self.known
         for part in parts:
-            words = self.find(part)
             try:
-                n = sum(map(known.__getitem__, words))
-            except (KeyError, TypeError):
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = self.of_word(w)
-                if any(known[w] is None for w in words):
-                    n = sum(self.merged(list(w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part))
-                else:
-                    n = sum(map(known.__getitem__, words))
-            total += n
+                total += sum(map(known.__getitem__, self.find(part)))
+            except TypeError:  # a word has a code point that is unassigned
+                total += sum(self.merged(list(w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part))
         return total
 
 

@@ -297,3 +297,20 @@ def test_pipeline(spark, odd):
     for _, stage in p.STAGES:
         assert stage(spark, odd.limit(0), d).count() == 0
         stage(spark, odd, d).collect()
+
+
+def test_kept_words_are_bounded_by_bytes():
+    """Thousands of long words, and very many short ones, leave little behind, and change no result."""
+    random.seed(7)
+    e, c, t = bpe.Encoder(TOK), token_count.Counter(TOK), bpe.load(TOK)
+    long = ["".join(random.choice("abcdefgh") for _ in range(2_000)) for _ in range(500)]
+    held = (e.known.held, c.known.held)
+    for i in range(0, len(long), 10):
+        text = " ".join(long[i : i + 10])
+        assert len(e.ids(text)) == c.of_text(text) == len(t.encode(text, add_special_tokens=False).ids)
+    assert (e.known.held, c.known.held) == held == (0, 0)
+    e.known.most = c.known.most = 20_000
+    for i in range(40):
+        text = " ".join(str(random.random()) for _ in range(200))
+        assert e.ids(text) == t.encode(text, add_special_tokens=False).ids and c.of_text(text) == len(e.ids(text))
+        assert max(e.known.held, c.known.held) <= 20_000 and len(e.known) < 400 > len(c.known)
