@@ -104,6 +104,43 @@ def test_decontamination():
         assert got == want
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_decontamination_of_periodic_texts(monkeypatch, small):
+    """Equal to brute force, also when windows, pairs and waiting counts are cut very small."""
+    if small:
+        for name, n in (("WINDOW", 50), ("PAIRS", 7), ("WAITING", 5), ("WIDTH", 40)):
+            monkeypatch.setattr(decontaminate, name, n)
+    random.seed(8)
+    hits = 0
+    for _ in range(25):
+        unit = "".join(random.choice("ab=-") for _ in range(random.randint(1, 5)))
+        items = [(0, unit * random.randint(10, 60)), (1, (unit * 40)[: random.randint(20, 90)] + "xyz" * 10), (2, "a b " * 12)]
+        docs = []
+        for _ in range(4):
+            z = list(random.choice(items)[1] + unit * random.randint(0, 40))
+            for _ in range(random.randint(0, 9)):
+                z[random.randrange(len(z))] = random.choice("ab=-x")
+            docs.append(decontaminate.normal("q" * random.randint(0, 30) + "".join(z)))
+        index = decontaminate.build(items)
+        got = {(d, t): e for d, t, e, _, _ in decontaminate.search(index, docs)}
+        want = {(d, t): n for d, x in enumerate(docs) for t, item in enumerate(index.texts) if (n := distance(item, x)) <= decontaminate.budget(len(item))}
+        assert got == want
+        hits += sum(0 < n for n in want.values())
+    assert hits > 10
+
+
+def test_decontamination_of_a_long_periodic_text_in_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.build([(0, "=-" * 1000), (1, "=-" * 500 + "=+" * 40)])
+    text = "=-" * 1_000_000
+    tracemalloc.start()
+    found = decontaminate.search(index, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, t, e, s) for d, t, e, s, _ in found] == [(0, 0, 0, 0), (0, 1, 40, 0)] and peak < 500e6
+
+
 def test_decontamination_rows(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, ""), (4, "nowhere to be found")], "item_id long, text string")
     assert sorted(r[0] for r in decontaminate.contaminated(odd, bench).collect()) == [5, 5, 8]
