@@ -1,8 +1,11 @@
 """Not-modified revisits of WARC captures, resolved by an as-of join.
 
 A revisit (status 304, or a record of type revisit) has no body; it stands for the latest earlier full response of the same
-canonical URL, if its validators agree. Captures are cut into slices of time inside each URL; a slice's last
-full response is carried to the later ones. So a URL with a third of all captures is spread over its slices.
+canonical URL, if its validators agree. All captures of a URL at one second have the same earlier response, so the as-of join
+is made over the distinct seconds: the last full response of each is found before anything is exchanged. The seconds are cut
+into days inside each URL, and a day's last response is carried to the later ones. So no window has more rows than a day
+has seconds, or a URL has days, whatever share of the captures one URL has. The revisits then look their response up; where very many
+are of one URL and second, it is broadcast to them.
 
 The resolved record has the full response's status, payload pointer and headers, with those that a not-modified
 answer may renew taken from the revisit.
@@ -14,12 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import SPLIT, looked_up
+
 #: Headers that a 304 answer may renew (RFC 9110, 15.4.5, and the freshening of stored responses, RFC 9111, 3.2). Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that say where a visitor came from. Fixed values.
 TRACKING = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 #: Captures of one URL are cut into slices of this many seconds.
 SLICE = 86_400
+#: Responses (about 1 KB each) that may be broadcast, as those of very many revisits at one second.
+HOT = 10_000
 
 
 def canonical(url: Column) -> Column:
@@ -49,21 +56,22 @@ def resolve(captures: DataFrame, slice_seconds: int = SLICE) -> DataFrame:
     revisit = F.coalesce((F.col("type") == "revisit") | (F.col("status") == 304), F.lit(False))
     full = ~revisit & F.coalesce(F.col("status") == 200, F.lit(False)) & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     rows = rows.withColumns({"is_revisit": revisit, "is_full": full, "slice": F.floor(F.col("ts") / slice_seconds)})
-    # what a revisit needs of the response; a null key would gather in one task, so it is spread by the row
-    keep = F.when(F.col("is_full"), F.struct("ts", "record_id", "status", F.array_sort(F.map_entries("headers")).alias("headers"), "payload"))
-    lone = F.when(F.col("canonical_url").isNull() | F.col("ts").isNull(), F.monotonically_increasing_id())
-    rows = rows.withColumns({"answer": keep, "lone": lone})
-    key = ["canonical_url", "slice", "lone"]
-    inside = W.partitionBy(*key).orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("near", F.max("answer").over(inside))
-    # the last answer of each slice, carried on: one row a slice, so a URL's window has no more rows than it has slices
-    ends = rows.where("is_full").groupBy("canonical_url", "slice").agg(F.max("answer").alias("last"))
-    wanted = rows.where("is_revisit AND near IS NULL AND lone IS NULL").groupBy("canonical_url", "slice").agg(F.lit(None).cast(ends.schema["last"].dataType).alias("last"))
-    before = W.partitionBy("canonical_url").orderBy("slice").rangeBetween(W.unboundedPreceding, -1)
-    carried = ends.unionAll(wanted).groupBy("canonical_url", "slice").agg(F.max("last").alias("last")).select("canonical_url", "slice", F.max("last").over(before).alias("far"))
-    rows = rows.join(carried.where("far IS NOT NULL"), ["canonical_url", "slice"], "left")
-    old = F.when(F.col("is_revisit") & F.col("lone").isNull(), F.coalesce("near", "far"))
-    rows = rows.withColumn("old", old).withColumn("had", F.map_from_entries("old.headers"))
+    # what a revisit needs of the response
+    answer = F.when(F.col("is_full"), F.struct("ts", "record_id", "status", F.array_sort(F.map_entries("headers")).alias("headers"), "payload"))
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    points = rows.where(placed & (F.col("is_full") | F.col("is_revisit"))).groupBy("canonical_url", "slice", "ts").agg(F.max(answer).alias("answer"), F.count_if("is_revisit").alias("n"))
+    upto = lambda *key: W.partitionBy(*key[:-1]).orderBy(key[-1]).rowsBetween(W.unboundedPreceding, -1)
+    points = points.withColumn("near", F.last("answer", ignorenulls=True).over(upto("canonical_url", "slice", "ts")))
+    # one row a slice, so a URL's window has no more rows than it has slices
+    ends = points.groupBy("canonical_url", "slice").agg(F.max("answer").alias("end"))
+    ends = ends.select("canonical_url", "slice", F.last("end", ignorenulls=True).over(upto("canonical_url", "slice")).alias("far"))
+    points = points.where("n > 0").join(ends, ["canonical_url", "slice"]).select("canonical_url", "ts", F.coalesce("near", "far").alias("old"), "n").where("old IS NOT NULL")
+    asking = rows.where(placed & F.col("is_revisit"))
+    hot = points.where(F.col("n") > F.greatest(F.lit(SPLIT), F.lit(asking.count() // HOT)))
+    asked = looked_up(asking, points.drop("n"), ["canonical_url", "ts"], hot.drop("n"))
+    others = rows.where(~(placed & F.col("is_revisit"))).withColumn("old", F.lit(None).cast(points.schema["old"].dataType))
+    rows = asked.unionAll(others)
+    rows = rows.withColumn("had", F.map_from_entries("old.headers"))
     get = lambda c, name: F.try_element_at(F.col(c), F.lit(name))
     tag = lambda c: F.regexp_replace(get(c, "etag"), "^W/", "")
     same_tag, same_time = tag("headers") == tag("had"), get("headers", "last-modified") == get("had", "last-modified")

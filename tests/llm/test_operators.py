@@ -315,6 +315,38 @@ def test_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], c)).count() == 0
 
 
+def test_revisits_of_hot_urls_and_seconds(spark, monkeypatch):
+    """A brute-force as-of join over repeated rows, ties and one URL with most of the captures, also with SPLIT so small that answers are broadcast."""
+    random.seed(9)
+    rows = []
+    for i in range(600):
+        url = random.choice(["http://hot.example/x"] * 3 + [f"http://h{random.randint(0, 5)}.example/"])
+        full = random.random() < 0.2
+        ts = random.choice([100, 100, random.randint(0, 400_000), random.randint(0, 50)])
+        rows.append((i, url, ts, "response" if full else "revisit", 200 if full else 304, {"etag": random.choice("ab"), "n": str(i)} if full or i % 2 else {}, f"p{i}" if full else None, "clash", 5))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, type string, status int, headers map<string,string>, payload string, answer string, slice int")
+    want = defaultdict(set)
+    for i, url, ts, kind, _, headers, payload, *_ in rows:
+        before = [r for r in rows if r[3] == "response" and r[1] == url and r[2] < ts] if kind == "revisit" else []
+        last = max(before, key=lambda r: (r[2], r[0]), default=None)
+        if kind == "response":
+            want[i].add(("full", i, payload, headers.get("n")))
+        elif last is None or ("etag" in headers and headers["etag"] != last[5]["etag"]):
+            want[i].add(("mismatch" if last else "no_earlier", None, None, headers.get("n")))
+        else:
+            want[i].add(("resolved", last[0], last[6], last[5]["n"]))
+    for split in (256, 2):
+        monkeypatch.setattr(warc, "SPLIT", split)
+        monkeypatch.setattr(warc, "HOT", 200)
+        got = warc.resolve(df).collect()
+        assert len(got) == len(rows)
+        found = defaultdict(set)
+        for r in got:
+            found[r["record_id"]].add((r["resolution"], r["source_id"], r["payload"], r["headers"].get("n")))
+        assert found == want
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline as p
 
