@@ -5,9 +5,12 @@ halves; each half has its own centroids, fitted on a bounded sample. Every vecto
 A query walks the centroid pairs in order of summed distance, by a heap over the two sorted distance lists, until the
 cells it has met hold enough vectors. Then those cells' vectors are ranked anew by the true inner product.
 
+How many vectors are enough is measured: for some vectors of the sample, at which share of the sample their true neighbours'
+cells come up in the walk. Clustered vectors need little, random directions nearly half.
+
 The index is stored in parts: neighbouring first centroids share one until it is full, and one with more vectors than that
-(or very many copies of one vector) is dealt over several by a salt. Each part ranks its share of a query's cells, which come
-as a bit map, and passes on no more than k a query.
+(or very many copies of one vector) is dealt over several by a salt. The queries are dealt over chunks. A task ranks, for one part
+and one chunk, the part's share of each query's cells, which come as a bit map, and passes on no more than k a query.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Centroids of a half (so 16,384 cells), vectors that they are fitted on (the documented bound), and rounds of fitting.
 CENTROIDS, SAMPLE, ROUNDS = 128, 20_000, 12
-#: A query visits cells until they hold this share of all vectors, and at least LEAST_CANDIDATES. Vectors without any
-#: structure (random directions) need this much for a recall above 0.9; clustered ones far less.
-SHARE, LEAST_CANDIDATES = 0.40, 2_000
-#: Vectors of one part of the index.
-PART = 4_096
+#: A query visits cells until they hold a share of all vectors, and at least LEAST_CANDIDATES. The share is the one at
+#: which PROBES vectors of the sample meet RECALL of their neighbours in the sample.
+RECALL, PROBES, LEAST_CANDIDATES = 0.95, 256, 2_000
+#: Vectors of one part of the index, and queries of one chunk.
+PART, CHUNK = 4_096, 8_192
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -76,6 +79,26 @@ def walk(d1: np.ndarray, d2: np.ndarray, count: np.ndarray, enough: int) -> list
     return out
 
 
+def share_for(sample: np.ndarray, most: float, c1: np.ndarray, c2: np.ndarray, k: int) -> float:
+    """The share of the sample's vectors that a query has to visit to meet RECALL of its k nearest in the sample."""
+    if len(sample) < 2:
+        return 1.0
+    h1, h2 = halves(sample, most)
+    cell = nearest(h1, c1) * len(c2) + nearest(h2, c2)
+    count = np.bincount(cell, minlength=len(c1) * len(c2))
+    needed = []
+    for i in range(0, len(sample), -(-len(sample) // PROBES)):
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        near = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
+        d1, d2 = (distances(h, c)[0] for h, c in zip(halves(sample[i : i + 1], None), (c1, c2), strict=True))
+        order = np.argsort((d1[:, None] + d2).ravel(), kind="stable")
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(count[order])
+        needed += before[cell[near]].tolist()
+    return float(np.quantile(needed, RECALL, method="higher")) / len(sample)
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """(vec_id, v: array of doubles) of the rows that take part: those with an id and a vector that is not null, empty or
     zero, holds no null and no number that is not finite, and has the most common length."""
@@ -86,34 +109,28 @@ def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") ->
     return rows.where(F.size("v") == (length[0] if length else 0))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHARE, least: int = LEAST_CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float | None = None, least: int = LEAST_CANDIDATES) -> DataFrame:
     """For each row of vectors (vec_id, embedding) whose vec_id is divisible by `every`: its k nearest found among all other
-    rows, by inner product in double precision: query_id, rank from 1, vec_id, score; ties to the smaller vec_id.
+    rows, by inner product in double precision: query_id, rank from 1, vec_id, score; ties to the smaller vec_id. share: of
+    all vectors, to be visited; measured if not given.
 
-    A query's own row, and rows with its id, are no candidates; repeated rows of other ids are given once for each id, and a query
-    id that is repeated is searched once (its first vector in order). Rows named in usable() take no part; other columns
-    are left out; an empty table gives an empty result."""
+    Only a query's own row is no candidate. Rows that share a vec_id are rows like others: each is found, and each is a
+    query of its own, whose results have that query_id. Rows named in usable() take no part; other columns are left out; an empty
+    table gives an empty result."""
     spark = vectors.sparkSession
-    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = written(rows)
-    schema = "query_id long, rank int, vec_id long, score double"
-    n, most = rows.select(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    if n < 2:
-        return spark.createDataFrame([], schema)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()])
-    c1, c2 = (kmeans(h, CENTROIDS) for h in halves(sample, most))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                h1, h2 = halves(x, most)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(h1, c1).astype(np.int32)), pa.array(nearest(h2, c2).astype(np.int32))], ["vec_id", "v", "c1", "c2"])
-
-    index = written(rows.mapInArrow(place, "vec_id long, v array<double>, c1 int, c2 int"))
+    with scratch(spark) as kept:
+        rows = written(usable(vectors).withColumn("row", F.monotonically_increasing_id()))
+        schema = "query_id long, rank int, vec_id long, score double"
+        n, asking, most = rows.select(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+        if n < 2:
+            return spark.createDataFrame([], schema)
+        sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id", "row"), "row").select("v").limit(SAMPLE).collect()])
+        c1, c2 = (kmeans(h, CENTROIDS) for h in halves(sample, most))
+        index = kept(rows.mapInArrow(_placer(most, c1, c2), "row long, vec_id long, v array<double>, c1 int, c2 int"))
     count = np.zeros((len(c1), len(c2)), np.int64)
     for a, b, m in index.groupBy("c1", "c2").count().collect():  # at most CENTROIDS squared rows
         count[a, b] = m
+    share = share_for(sample, most, c1, c2, k) if share is None else share
     enough = max(least, int(share * n)) + 1
     group, first, held = np.zeros(len(c1), np.int64), [0], 0
     for i, m in enumerate(count.sum(1)):
@@ -123,38 +140,63 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHAR
         held += int(m)
         group[i] = len(first) - 1
     parts = [max(1, -(-int(count[group == g].sum()) // PART)) for g in range(len(first))]
-    local = np.arange(len(c1)) - np.array(first)[group]
+    local, chunks = np.arange(len(c1)) - np.array(first)[group], max(1, -(-asking // CHUNK))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 2))
+            out: list[list] = [[], [], [], [], []]
+            x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 2))
             h1, h2 = halves(x, None)
-            for q, v, d1, d2 in zip(b.column(0).to_pylist(), x, distances(h1, c1), distances(h2, c2), strict=True):
+            for row, q, v, d1, d2 in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), x, distances(h1, c1), distances(h2, c2), strict=True):
                 cells = np.zeros(count.shape, bool)
                 cells[tuple(np.array(walk(d1, d2, count, enough)).T)] = True
                 for g in np.unique(group[cells.any(axis=1)]):
                     bits = np.packbits(cells[group == g]).tobytes()
                     for p in range(parts[g]):
-                        for column, y in zip(out, (int(g) * 1_000_000 + p, q, v, bits), strict=True):
+                        for column, y in zip(out, (int(g) * 1_000_000 + p, row, q, v, bits), strict=True):
                             column.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64())), pa.array(out[3], pa.binary())], ["part", "vec_id", "v", "cells"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["part", "row", "vec_id", "v", "cells"])
 
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(visit, "part long, vec_id long, v array<double>, cells binary")
+    asked = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v").mapInArrow(visit, "part long, row long, vec_id long, v array<double>, cells binary")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
     of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("c1") + 1)
-    part = of(group) * F.lit(1_000_000).cast("long") + F.pmod(F.xxhash64("vec_id"), of([parts[g] for g in group]))
-    stored = index.select(part.alias("part"), "vec_id", "v", (of(local) * len(c2) + F.col("c2")).alias("cell"))
+    part = of(group) * F.lit(1_000_000).cast("long") + F.pmod(F.xxhash64("row"), of([parts[g] for g in group]))
+    stored = index.select(part.alias("part"), "row", "vec_id", "v", (of(local) * len(c2) + F.col("c2")).alias("cell"))
+    stored = stored.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("chunk", F.col("chunk").cast("long"))
+    found = asked.groupBy("part", "chunk").cogroup(stored.groupBy("part", "chunk")).applyInArrow(_ranker(k), "row long, part long, query_id long, vec_id long, score double")
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
+        return rows.groupBy(*keys).agg(top.alias("best"))
+
+    # in two steps, so that no task has k rows of each of very many parts for a query
+    some = best(found.withColumn("part", F.col("part") % 64), "row", "query_id", "part").select("row", "query_id", F.explode("best").alias("e")).select("row", "query_id", "e.*")
+    top = best(some, "row", "query_id").select("query_id", F.posexplode("best").alias("at", "e"))
+    return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
 
+
+def _placer(most: float, c1: np.ndarray, c2: np.ndarray):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+                h1, h2 = halves(x, most)
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), b.column("v"), pa.array(nearest(h1, c1).astype(np.int32)), pa.array(nearest(h2, c2).astype(np.int32))], ["row", "vec_id", "v", "c1", "c2"])
+
+    return place
+
+
+def _ranker(k: int):
     def rank(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            ids, cell = right.column("vec_id").to_numpy(), right.column("cell").to_numpy()
+            ids, row, cell = (right.column(c).to_numpy() for c in ("vec_id", "row", "cell"))
             y = right.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            order = np.argsort(ids)
-            ids, cell, y = ids[order], cell[order], y[order]
-            visited = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in left.column("cells").to_pylist()]
-            for q, x, js in zip(left.column("vec_id").to_pylist(), left.column("v").combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1), visited, strict=True):
-                here = np.flatnonzero(js[cell] & (ids != q))
+            asked = left.column("v").combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1)
+            for q_row, q, x, bits in zip(left.column("row").to_pylist(), left.column("vec_id").to_pylist(), asked, left.column("cells"), strict=True):
+                visited = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8)).astype(bool)
+                here = np.flatnonzero(visited[cell] & (row != q_row))
                 if not len(here):
                     continue
                 s = y[here] @ x
@@ -164,14 +206,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = SHAR
                     here, s = here[top], s[top]
                 s = np.array([_dot(x, z) for z in y[here]])
                 best = np.lexsort((ids[here], -s))[:k]
-                out += [(q, int(ids[here[b]]), float(s[b])) for b in best]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                out += [(q_row, key[0].as_py(), q, int(ids[here[b]]), float(s[b])) for b in best]
+        cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["row", "part", "query_id", "vec_id", "score"])
 
-    found = asked.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "e"))
-    return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    return rank
 
 
 def _dot(x: np.ndarray, y: np.ndarray) -> float:

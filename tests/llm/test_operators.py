@@ -305,6 +305,26 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (0, [9.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [0.5, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, row string, part int, chunk int")
+    monkeypatch.setattr(ann, "CHUNK", 1)  # each query is a chunk of its own
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).collect())
+    first, second = [(0, 9.0), (1, 5.0), (1, 1.0), (2, 0.5)], [(1, 45.0), (0, 9.0), (1, 9.0), (2, 4.5)]
+    assert got == sorted((0, i + 1, *x) for found in (first, second) for i, x in enumerate(found))
+
+
+def test_share_is_small_for_clustered_vectors():
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(6000, 32))
+    groups = rng.normal(size=(60, 32))[rng.integers(60, size=6000)] * 3 + 0.1 * plain
+    share = {}
+    for name, x in (("plain", plain), ("groups", groups)):
+        most = float(np.linalg.norm(x, axis=1).max())
+        share[name] = ann.share_for(x, most, *(ann.kmeans(h, ann.CENTROIDS) for h in ann.halves(x, most)), 20)
+    assert share["groups"] < 0.2 < share["plain"] < 0.8
+
+
 def test_revisits(spark):
     c = "record_id long, url string, ts long, type string, status int, headers map<string,string>, payload string"
     day = 86_400
