@@ -2,8 +2,10 @@
 
 Base patterns find assignments, access key ids and long hex runs. Beside them, runs of base64 or hex characters and dotted
 tokens are decoded and reported only if their inside proves them:
-  jwt  a signed token: the first part decodes to a JSON object that names an algorithm, the second to a JSON object;
-  der  base64 or hex of a private key in DER: nested lengths that fit exactly, and a version number where each form has it;
+  jwt  a signed token: the first part decodes to a JSON object that names an algorithm other than none, the second to a
+       JSON object, and there is a signature that decodes too;
+  der  base64 or hex of a private key in DER: nested lengths that fit exactly, a version number where each form has it, an
+       encryption by password where the key is encrypted, and inside PKCS #8 the key that its algorithm asks for;
   ssh  base64 of an OpenSSH private key: its magic, then length-prefixed cipher, key derivation and a key count.
 """
 
@@ -11,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -73,25 +74,68 @@ def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
-def is_private_der(data: bytes) -> bool:
-    """PKCS #1 (version and eight integers), PKCS #8 (version, algorithm, octets), SEC 1 (version 1, octets) or encrypted
-    PKCS #8 (algorithm, octets), in one sequence that is the whole of data."""
+#: Object identifiers, as the bytes that DER has for them; fixed values.
+RSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+INTEGER_KEYS = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))  # DSA, Diffie-Hellman
+CURVE_KEYS = tuple(bytes.fromhex(x) for x in ("2b656e", "2b656f", "2b6570", "2b6571"))  # X25519, X448, Ed25519, Ed448
+PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # PKCS #5 and PKCS #12 encryption, by their beginning
+
+
+def _whole(data: bytes, tag: int) -> list[tuple[int, int, int]] | None:
+    """The elements inside data, if it is one element of this tag."""
     top = tlv(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data) or not (inside := elements(data, top[1], top[2])):
+    return elements(data, top[1], top[2]) if top and top[0] == tag and top[2] == len(data) else None
+
+
+def _algorithm(data: bytes, at: tuple[int, int, int]) -> bytes | None:
+    """The object identifier that an algorithm's sequence begins with."""
+    kinds = elements(data, *at[1:])
+    return data[kinds[0][1] : kinds[0][2]] if kinds and kinds[0][0] == 0x06 and len(kinds) <= 2 else None
+
+
+def is_pkcs1(data: bytes) -> bool:
+    """An RSA key: a version of 0 or 1 and eight integers."""
+    inside = _whole(data, 0x30)
+    return bool(inside) and len(inside) >= 9 and {t for t, _, _ in inside[:9]} == {0x02} and data[inside[0][1] : inside[0][2]] in (b"\0", b"\1")
+
+
+def is_sec1(data: bytes) -> bool:
+    """An elliptic-curve key: version 1, octets, and nothing but the curve and the public key after them."""
+    inside = _whole(data, 0x30)
+    return bool(inside) and len(inside) >= 2 and inside[0][0] == 0x02 and data[inside[0][1] : inside[0][2]] == b"\1" and inside[1][0] == 0x04 and all(t in (0xA0, 0xA1) for t, _, _ in inside[2:])
+
+
+def is_pkcs8(data: bytes) -> bool:
+    """A version of 0 or 1, an algorithm, and octets that hold that algorithm's key; of other algorithms any octets do."""
+    inside = _whole(data, 0x30)
+    if not inside or [t for t, _, _ in inside[:3]] != [0x02, 0x30, 0x04] or data[inside[0][1] : inside[0][2]] not in (b"\0", b"\1"):
+        return False
+    key = data[inside[2][1] : inside[2][2]]
+    kind = _algorithm(data, inside[1])
+    if kind is None:
+        return False
+    if kind == RSA:
+        return is_pkcs1(key)
+    if kind == EC:
+        return is_sec1(key)
+    if kind in INTEGER_KEYS or kind in CURVE_KEYS:
+        inner = tlv(key, 0, len(key))
+        return bool(inner) and inner[0] == (0x02 if kind in INTEGER_KEYS else 0x04) and inner[2] == len(key)
+    return bool(key)
+
+
+def is_encrypted(data: bytes) -> bool:
+    """Encrypted PKCS #8: an encryption by password, and octets. Other algorithms in this place are a plain digest."""
+    inside = _whole(data, 0x30)
+    if not inside or [t for t, _, _ in inside] != [0x30, 0x04]:
         return False
-    tags = [t for t, _, _ in inside]
-    if tags[0] == 0x02:
-        version = int.from_bytes(data[inside[0][1] : inside[0][2]], "big")
-        if version <= 1 and len(tags) >= 9 and set(tags[:9]) == {0x02}:
-            return True
-        if version <= 1 and len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
-            kinds = elements(data, *inside[1][1:])
-            return bool(kinds) and kinds[0][0] == 0x06
-        return version == 1 and len(tags) >= 2 and tags[1] == 0x04 and all(t in (0xA0, 0xA1) for t in tags[2:])
-    if tags == [0x30, 0x04]:
-        kinds = elements(data, *inside[0][1:])
-        return bool(kinds) and kinds[0][0] == 0x06
-    return False
+    kind = _algorithm(data, inside[0])
+    return kind is not None and kind.startswith(PASSWORD)
+
+
+def is_private_der(data: bytes) -> bool:
+    """PKCS #1, PKCS #8, SEC 1 or encrypted PKCS #8, in one sequence that is the whole of data."""
+    return is_pkcs8(data) or is_pkcs1(data) or is_sec1(data) or is_encrypted(data)
 
 
 def _der_end(text: str, start: int) -> int:
@@ -146,9 +190,9 @@ def _json(part: str):
 
 
 def is_token(text: str) -> bool:
-    head, body, _ = text.split(".", 2)
+    head, body, signature = text.split(".", 2)
     h = _json(head)
-    return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(_json(body), dict)
+    return isinstance(h, dict) and isinstance(h.get("alg"), str) and h["alg"].lower() != "none" and isinstance(_json(body), dict) and bool(_base64(signature))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -190,13 +234,9 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def told(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered(spans))
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, spans: array of (kind, start, end) in code points, end exclusive, by start and
-    kind, and n_base, how many of them are of the base kinds. A null text counts as empty; repeated rows give repeated results;
+    kind. A null text counts as empty; repeated rows give repeated results;
     other columns are left out. Nothing is exchanged."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +270,3 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     out = docs.withColumn("text", clean.asNondeterministic()("text"))  # else n_chars would redact once more
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(told(spans).encode()).hexdigest()

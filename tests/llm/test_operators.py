@@ -259,7 +259,8 @@ def element(tag, body):
 def test_secret_keys_wherever_they_start():
     random.seed(6)
     algorithm = element(0x30, element(0x06, b"\x2a\x86\x48\xce\x3d\x02\x01") + element(0x06, b"\x2b\x81\x04\x00\x23"))
-    keys = [element(0x30, element(2, b"\0") + algorithm + element(4, random.randbytes(n))) for n in (*range(32, 90), 200, 214, 215, 216, 1200)]  # PKCS #8
+    inner = lambda n: element(0x30, element(2, b"\1") + element(4, random.randbytes(n)))
+    keys = [element(0x30, element(2, b"\0") + algorithm + element(4, inner(n))) for n in (*range(32, 90), 200, 214, 215, 216, 1200)]  # PKCS #8, with SEC 1 inside
     keys += [element(0x30, element(2, b"\0") + b"".join(element(2, b"\x01" + random.randbytes(n)) for _ in range(8))) for n in (20, 64, 200)]  # PKCS #1
     keys += [element(0x30, element(2, b"\1") + element(4, random.randbytes(66)) + element(0xA0, element(0x06, b"\x2b\x81\x04\x00\x23")))]  # SEC 1
     name = "PRIVATE KEY-----"
@@ -285,6 +286,72 @@ def test_secret_keys_wherever_they_start():
             assert secret_scan.redact(before + body + after) == before + "[SECRET]" + after
 
 
+def oid(hexed):
+    return element(0x06, bytes.fromhex(hexed))
+
+
+def rsa(n=64):
+    return element(0x30, element(2, b"\0") + b"".join(element(2, b"\x01" + random.randbytes(n)) for _ in range(8)))
+
+
+def sec1(n=32):
+    return element(0x30, element(2, b"\1") + element(4, random.randbytes(n)) + element(0xA0, oid("2a8648ce3d030107")))
+
+
+def pkcs8(algorithm, key, version=b"\0"):
+    return element(0x30, element(2, version) + element(0x30, algorithm) + element(4, key))
+
+
+def test_private_keys_and_lookalikes():
+    random.seed(11)
+    null = element(5, b"")
+    rsa_id, ec_id, ed = oid("2a864886f70d010101") + null, oid("2a8648ce3d0201") + oid("2a8648ce3d030107"), oid("2b6570")
+    pbes2 = element(0x30, oid("2a864886f70d01050d") + element(0x30, element(4, b"salt")))
+    keys = [rsa(), sec1(), pkcs8(rsa_id, rsa()), pkcs8(ec_id, sec1()), pkcs8(ed, element(4, random.randbytes(32))), pkcs8(oid("2a8648ce380401") + element(0x30, b""), element(2, b"\x07" * 20)), pkcs8(oid("2a0304"), b"any" * 10), element(0x30, pbes2 + element(4, random.randbytes(64))), element(0x30, element(0x30, oid("2a864886f70d010c0103") + null) + element(4, random.randbytes(64)))]
+    digest = element(0x30, element(0x30, oid("608648016503040201") + null) + element(4, random.randbytes(32)))  # DigestInfo of SHA-256
+    public = element(0x30, element(0x30, rsa_id) + element(3, b"\0" + element(0x30, element(2, random.randbytes(128)) + element(2, b"\1\0\1"))))
+    lookalikes = [digest, public, pkcs8(rsa_id, random.randbytes(300)), pkcs8(ec_id, random.randbytes(40)), pkcs8(ed, random.randbytes(34)), pkcs8(rsa_id, rsa(), b"\5"), rsa()[:-1], rsa() + b"\0", element(0x30, element(2, b"\0") + element(2, b"\1" * 20)), element(0x30, element(2, b"\2") + element(4, b"x" * 40))]
+    for form in (lambda x: base64.b64encode(x).decode(), bytes.hex):
+        for key in keys:
+            text = f"key {form(key)} end"
+            assert secret_scan.is_private_der(key) and [s for s in secret_scan.confirmed_spans(text) if s[0] == "der"] == ([("der", 4, len(text) - 4)] if len(key) >= 30 else [])
+        for key in lookalikes:
+            assert not secret_scan.is_private_der(key) and not secret_scan.confirmed_spans(f"key {form(key)} end")
+
+
+def test_tokens_must_be_signed():
+    code = lambda o: base64.urlsafe_b64encode(o if isinstance(o, bytes) else json.dumps(o).encode()).decode().rstrip("=")
+    body, head = code({"sub": "1"}), code({"alg": "RS256", "typ": "JWT"})
+    for h, b, s, good in ((head, body, code(b"signature"), True), (code({"alg": "none"}), body, "", False), (code({"alg": "None"}), body, code(b"x"), False), (head, body, "", False), (head, body, "x", False), (head, code([1]), code(b"sig"), False), (code({"typ": "JWT"}), body, code(b"sig"), False), (head, code(b"\xff\xfe{}"), code(b"sig"), False)):
+        assert bool(secret_scan.confirmed_spans(f"{h}.{b}.{s}")) == good, (h, b, s)
+
+
+def test_secret_query_against_brute_force(spark):
+    """The query's columns from the base patterns by plain search, over documents with keys and tokens among them."""
+    random.seed(12)
+    code = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    extra = {"jwt": f"{code({'alg': 'HS256'})}.{code({'sub': '1'})}.c2ln", "der": base64.b64encode(sec1()).decode()}
+    parts = ["token", "=", ":", '"', "abc ", "\n", "AKIA" + "Q7" * 9, "0f" * 13, "passwd", "hunter2", "é😀", "<|x|>"]
+    rows = [(i, "".join(random.choice([*parts, f" {extra['jwt']} ", f" {extra['der']} "]) for _ in range(random.randint(0, 16)))) for i in range(300)] + [(300, None), (300, None), (None, "secret=abcdefgh")]
+    patterns = (("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    want, seen = [], 0
+    for i, x in rows:
+        base = [(k, *m.span()) for k, p, g, least in patterns for m in re.finditer(p, x or "") if len(m[g]) >= least]
+        more = [(k, at, at + len(e)) for k, e in extra.items() for at in range(len(x or "")) if (x or "").startswith(f" {e} ", at - 1)]
+        seen += len(more)
+        told = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(s, key=lambda s: (s[1], ["assign", "access", "hex", "jwt", "der"].index(s[0]))))
+        want.append((i, *(sum(k == s[0] for s in base) for k in ("assign", "access", "hex")), hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)))
+    spark.createDataFrame(rows, "doc_id long, text string").createOrReplaceTempView("_docs")
+    assert seen > 50
+    monkey = queries.table
+    try:
+        queries.table = lambda s, d, name: s.table("_docs")
+        got = [tuple(r) for r in queries.secrets(spark, "").collect()]
+    finally:
+        queries.table = monkey
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.2, 2, size=(3000, 1))
