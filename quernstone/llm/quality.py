@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 Two classifiers give a document's own log odds: of good quality, by logistic regression on the text's make-up, and of
-toxicity, by the word or word beginning in it that is the clearest sign of it in the labelled sample. Then all documents' expected values are summed by path (source and language) and host (source), and
-each level's mean is shrunk toward the one above by the strength that the spread between sites supports (method of moments):
+toxicity, by the word or word beginning in it that is the clearest sign of it in the labelled sample. Then all documents'
+expected values are summed by path (source and language) and host (source), and each level's mean is shrunk toward the one above by the strength that the spread between sites supports (method of moments):
 sparse sites end at the global mean. A document's final log odds are its own, shifted by its path's posterior against the
 global mean, by at most MOST_SHIFT, so that no site overrules clear evidence in a text.
 """
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, free, written
+from .common import BROADCAST_IDS, free, scratch, written
 from .near_dup import shingle_sets
 
-#: Labelled rows that the classifiers are fitted on: those of the smallest hash. Bounds the driver's memory.
+#: Labelled documents that the classifiers are fitted on: those of the smallest hash, one text each. Bounds the fitting, and
+#: what the driver gets: their figures, and the signs of toxicity in them, each of which stands in three of them at least.
 SAMPLE = 20_000
 FEATURES = 9
 MOST_SHIFT = 1.5
@@ -120,11 +121,13 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Classifiers from labels (doc_id, quality, toxic). Rows with nulls are left out; without any labelled text all
-    documents pass. Texts are reduced to figures and words on the executors; the driver gets those of `sample` rows."""
+    """Classifiers from labels (doc_id, quality, toxic). Rows with nulls are left out, of repeated labels the largest counts,
+    of several texts of a doc_id the first in order; without any labelled text all documents pass. Texts are reduced to
+    figures and words on the executors."""
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     named = written(named.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named), "doc_id")
+    texts = written(texts.groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")))
 
     def told(toxic: int, counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([toxic] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["toxic", "part", "n"])
@@ -148,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             own = pa.array([list(map(float, make_up(t))) for t in held], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), own, pa.array(copies, pa.int64())], ["doc_id", "quality", "toxic", "figures", "copy"])
 
-    rows = texts.mapInArrow(figures, "doc_id long, quality int, toxic int, figures array<double>, copy long").orderBy("doc_id").limit(2 * sample).toPandas()
+    rows = texts.mapInArrow(figures, "doc_id long, quality int, toxic int, figures array<double>, copy long").orderBy("doc_id").toPandas()
     if rows.empty:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), 30.0), {}, -30.0)
     x, y = np.array(rows["figures"].tolist()), (rows["quality"] > 0).to_numpy().astype(float)
@@ -166,8 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     unlikely = F.col("a") * F.log(share / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - base))).otherwise(0)
     odds = F.log((F.col("a") + 0.5) / (F.col("b") + 0.5))
     strong = spread.groupBy("part").agg(a.alias("a"), b.alias("b")).where((F.col("a") >= 3) & (unlikely >= EVIDENCE) & ((F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1) >= LEAST_SHARE))
-    strong = strong.select("part", odds.alias("w")).orderBy(F.desc("w"), "part").limit(50_000)
-    toxic = {p: float(w) for p, w in strong.collect()}
+    toxic = {p: float(w) for p, w in strong.select("part", odds.alias("w")).collect()}
     return Model(mean, scale, weights, toxic, math.log((n1 + 0.5) / (n0 + 0.5)))
 
 
@@ -220,22 +222,27 @@ def sites(scored: DataFrame) -> DataFrame:
     return out.select("host", "path", "shift_quality", "shift_toxic")
 
 
-def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with a struct column _judged: quality and toxic (posterior probabilities) and kept (quality >= 0.5 > toxic).
+def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carried: list[str] | None = None) -> DataFrame:
+    """docs, or of them the columns that are carried, with a struct column _judged: quality and toxic (posterior
+    probabilities) and kept (quality >= 0.5 > toxic).
 
     A null text counts as empty, a null source or language as ''; repeated rows are judged alike; an empty table stays
-    empty; a column _judged in docs is replaced, all other columns come back as they are. The texts are not exchanged unless there are over BROADCAST_IDS paths."""
-    model = fit(docs, labels, sample)
-    own = evidence(model)
-    docs = docs.drop("_judged")
-    taken = {c.lower() for c in docs.columns}
-    o, h, p, q, t = (free(c, taken) for c in ("_own", "_host", "_path", "_shift_quality", "_shift_toxic"))
-    scored = docs.withColumns({o: own(F.coalesce("text", F.lit(""))), h: F.coalesce("source", F.lit("")), p: F.coalesce("lang", F.lit(""))})
-    shifts = written(sites(scored.select(F.col(h).alias("host"), F.col(p).alias("path"), F.col(o).alias("own"))))
+    empty; a column _judged in docs is replaced, all other columns come back as they are. Each text is read by the
+    classifiers once: the rows are written with their own log odds, from where the sites are summed and the verdicts drawn. The
+    texts are not exchanged unless there are over BROADCAST_IDS paths."""
+    with scratch(docs.sparkSession) as kept:
+        model = fit(docs, labels, sample)
+        docs = docs.drop("_judged")
+        taken = {c.lower() for c in docs.columns}
+        o, h, p, q, t = (free(c, taken) for c in ("_own", "_host", "_path", "_shift_quality", "_shift_toxic"))
+        columns = [c for c in docs.columns if carried is None or c in carried]
+        own = evidence(model)(F.coalesce("text", F.lit(""))).alias(o)
+        scored = kept(docs.select(*(F.col(f"`{c}`") for c in columns), own, F.coalesce("source", F.lit("")).alias(h), F.coalesce("lang", F.lit("")).alias(p)))
+        shifts = kept(sites(scored.select(F.col(h).alias("host"), F.col(p).alias("path"), F.col(o).alias("own"))))
     shifts = shifts.withColumnsRenamed({"host": h, "path": p, "shift_quality": q, "shift_toxic": t})
     if shifts.count() <= BROADCAST_IDS:
         shifts = F.broadcast(shifts)
     both = scored.join(shifts, [h, p], "left")
     quality, toxic = (1 / (1 + F.exp(-(F.col(o)[k] + F.coalesce(s, F.lit(0.0))))) for k, s in (("quality", q), ("toxic", t)))
     verdict = F.struct(quality.alias("quality"), toxic.alias("toxic"), ((quality >= 0.5) & (toxic < 0.5)).alias("kept"))
-    return both.withColumn("_judged", verdict).select(*(F.col(f"`{c}`") for c in docs.columns), "_judged")
+    return both.withColumn("_judged", verdict).select(*(F.col(f"`{c}`") for c in columns), "_judged")

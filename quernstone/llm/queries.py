@@ -34,7 +34,7 @@ def near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rated(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.judged(table(spark, d, "documents"), table(spark, d, "labels"))
+    out = quality.judged(table(spark, d, "documents"), table(spark, d, "labels"), carried=["doc_id"])
     return out.select("doc_id", F.round("_judged.quality", 6).alias("quality"), F.round("_judged.toxic", 6).alias("toxic"), F.col("_judged.kept").alias("kept"))
 
 

@@ -214,6 +214,44 @@ def test_quality_held_out(spark):
     assert got[False, False] / (got[False, False] + got.get((False, True), 0)) > 0.9
 
 
+def test_quality_sites_against_brute_force(spark):
+    """Posteriors of paths and hosts by the formulas, from all documents."""
+    random.seed(13)
+    rows = [(f"h{h}", f"p{random.randint(0, 3)}", random.gauss(h - 3, 1.0), random.gauss(1 - h, 0.5)) for h in range(7) for _ in range(random.choice([1, 2, 40, 300]))]
+    df = spark.createDataFrame(rows, "host string, path string, q double, t double").select("host", "path", F.struct(F.col("q").alias("quality"), F.col("t").alias("toxic")).alias("own"))
+    got = {(r["host"], r["path"]): (r["shift_quality"], r["shift_toxic"]) for r in quality.sites(df).collect()}
+    logit = lambda x: np.log(x / (1 - x))
+    want = defaultdict(list)
+    for i in (2, 3):
+        p = [1 / (1 + np.exp(-r[i])) for r in rows]
+        mean = np.mean(p)
+
+        def strength(of):
+            groups = defaultdict(list)
+            for r, x in zip(rows, p, strict=True):
+                groups[of(r)].append(x)
+            spread = sum(len(g) * (np.mean(g) - mean) ** 2 for g in groups.values())
+            between = (spread - mean * (1 - mean) * (len(groups) - 1)) / len(p)
+            return groups, min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e6
+
+        (hosts, up), (paths, down) = strength(lambda r: r[0]), strength(lambda r: r[:2])
+        for k, g in paths.items():
+            host = (sum(hosts[k[0]]) + up * mean) / (len(hosts[k[0]]) + up)
+            path = (sum(g) + down * host) / (len(g) + down)
+            want[k].append(max(-quality.MOST_SHIFT, min(quality.MOST_SHIFT, logit(path) - logit(mean))))
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_quality_of_repeated_labels_and_texts(spark):
+    """A doc_id with very many rows counts once in the fitting; its rows are judged one by one."""
+    docs = spark.createDataFrame([(1, f"good words number {i}", "en", "s") for i in range(50)] + [(2, "BAD", "en", "s"), (3, "other plain words", "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 0)] * 5 + [(2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, 2)
+    assert np.isfinite(model.weights).all()
+    out = quality.judged(docs, labels, carried=["doc_id"])
+    assert out.columns == ["doc_id", "_judged"] and out.count() == 52
+
+
 def test_quality_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (99, None, 1)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):
