@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, free, scratch, written
+from .common import BROADCAST_IDS, free, scratch, slices, written
 from .near_dup import shingle_sets
 
 #: Labelled documents that the classifiers are fitted on: those of the smallest hash, one text each. Bounds the fitting, and
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = b.column("text").to_pylist()
-            copies = [int(x[0] >> np.uint64(1)) if len(x) else 0 for x in shingle_sets(held, 3)]
+            copies = [int(s[0] >> np.uint64(1)) if len(s) else 0 for x, y in slices(held, 1 << 18) for s in shingle_sets(held[x:y], 3)]
             own = pa.array([list(map(float, make_up(t))) for t in held], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), own, pa.array(copies, pa.int64())], ["doc_id", "quality", "toxic", "figures", "copy"])
 
