@@ -9,10 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of one Arrow batch, where the session has Spark's default of 10,000: rows may hold whole texts, and a batch is held
+#: by the executor's JVM and by its Python worker at once.
+ARROW_ROWS, ARROW_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package's modules to the executors, once an application, so that functions from it can run there."""
+    """Hands this package's modules to the executors, once an application, so that functions from it can run there; makes
+    Arrow batches smaller than by default."""
+    if spark.conf.get(ARROW_SETTING, "10000") == "10000":
+        spark.conf.set(ARROW_SETTING, ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
