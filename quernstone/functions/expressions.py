@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import aggregates, scalars
-from .paths import resolve
+from . import aggregates, scalars, search
+from .paths import quoted, resolve
 
 _token = re.compile(r"""\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<mark>[(),])|(?P<op><=|>=|!=|=|<|>)|(?P<name>[^\s(),'"<>=!]+))""")
 _alias = re.compile(r"\s+as\s+(?=[^()'\"]*$)", re.IGNORECASE)
@@ -95,6 +96,8 @@ def build(node: Node, df: DataFrame, aliases: dict[str, Column] | None = None) -
     if node.kind == "compare":
         a, b = (build(x, df, aliases) for x in node.args)
         return F.coalesce({"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[node.value], F.lit(False))
+    if node.value == "SEARCH":
+        return searched(node, df)
     args = [build(x, df, aliases) for x in node.args]
     if node.value in aggregates.FUNCTIONS:
         return aggregates.FUNCTIONS[node.value](df, args, node.args[0].kind == "star" if node.args else True)
@@ -105,5 +108,15 @@ def build(node: Node, df: DataFrame, aliases: dict[str, Column] | None = None) -
     return scalars.FUNCTIONS[node.value](*args)
 
 
+def searched(node: Node, df: DataFrame, op: str = "<=", value: float = math.inf) -> Column:
+    """SEARCH(column or *, 'term', ...): the least score of those that are met (op value), null where none is. * stands for all columns of text;
+    a last argument 'tokenizer:name' names the tokenizer, else it is english."""
+    first, *terms = node.args
+    words = [str(t.value) for t in terms]
+    mode = next((w.partition(":")[2] for w in words if w.startswith("tokenizer:")), "english")
+    columns = [F.col(quoted(n)) for n, k in df.dtypes if k == "string"] if first.kind == "star" else [build(first, df)]
+    return search.score(columns, [w for w in words if not w.startswith("tokenizer:")], op, value, mode, single=value == math.inf)
+
+
 def column(text: str, df: DataFrame) -> Column:
     return build(parse(text), df)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import operator
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import kept
+
 #: Words that are not indexed; fixed values.
 STOP_WORDS = frozenset(
     """a about after all also am an and andor another any are as at be because been before being between both but by came can come
@@ -18,17 +24,29 @@ STOP_WORDS = frozenset(
     the their them then there these they this those through to too under up very was way we well were what where which while who
     with would you your""".split()
 )
+_digit = re.compile("[0-9]")
 _digits = re.compile(r"([0-9]+)/([0-9]+)|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?")
 _gaps, _drop = re.compile(r"[-_\[\](){}\r\n\t]"), re.compile(r"(?<![0-9])\.|[^A-Za-z0-9_\s.]")
 
 
+#: Digits of the longest number that is read as one; longer runs are no numbers but marks, and stay as they are.
+LONGEST_NUMBER = 15
+
+
 def normalise(text: str | None, decimals: int = 4) -> list[str]:
+    """Words in lower case; fractions and numbers with a fixed number of decimals."""
+
     def number(m: re.Match) -> str:
+        if max(map(len, re.findall("[0-9]+", m[0].replace(",", "")))) > LONGEST_NUMBER:
+            return m[0]
         if m[1]:
             return f"{int(m[1]) / int(m[2]):.{decimals}f}" if int(m[2]) else m[0]
         return f"{float(m[0].replace(',', '')):.{decimals}f}"
 
-    return _drop.sub("", _gaps.sub(" ", _digits.sub(number, (text or "").lower()))).split()
+    text = (text or "").lower()
+    if _digit.search(text):
+        text = _digits.sub(number, text)
+    return _drop.sub("", _gaps.sub(" ", text)).split()
 
 
 def _measure(stem: str) -> int:
@@ -112,25 +130,60 @@ def metaphone(word: str) -> str:
     return out
 
 
-def tokenize(text: str | None, mode: str = "english") -> list[tuple[str, int]]:
-    """(token, place); stop words and single letters are dropped but keep their places."""
-    make = {"english": lambda w: metaphone(stem(w)), "english-stem": stem, "english-meta": metaphone}.get(mode)
-    words = normalise(text)
-    if make is None:
-        return [(w, i) for i, w in enumerate(words)]
-    return [(w if w[0].isdigit() else make(w), i) for i, w in enumerate(words) if len(w) > 1 and w not in STOP_WORDS]
+class Tokens(dict):
+    """Word -> its token, or '' for words that are dropped. All are forgotten when there are over MOST."""
+
+    MOST = 300_000
+
+    def __init__(self, mode: str):
+        super().__init__()
+        self.make = {"english": lambda w: metaphone(stem(w)), "english-stem": stem, "english-meta": metaphone}.get(mode)
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > self.MOST:
+            self.clear()
+        if self.make is None:
+            out = w
+        elif len(w) == 1 or w in STOP_WORDS:
+            out = ""
+        else:
+            out = w if w[0].isdigit() else self.make(w)
+        self[w] = out
+        return out
+
+
+def tokenize(text: str | None, mode: str = "english", tokens: Tokens | None = None) -> list[tuple[str, int]]:
+    """(token, place); stop words and single letters are dropped but keep their places. Any other mode takes words as they
+    are, and all of them."""
+    tokens = Tokens(mode) if tokens is None else tokens
+    return [(t, i) for i, w in enumerate(normalise(text)) if (t := tokens[w])]
+
+
+def sanitised(term: str) -> str:
+    """A term as it may stand between quotes in an expression."""
+    return re.sub("[',]", "", term)
 
 
 def index(df: DataFrame, key: str, column: str, mode: str = "english") -> DataFrame:
     """(id, w, places): the places of each token in each row's text. Tokens are made in Arrow batches, then grouped by row."""
 
-    @F.pandas_udf("array<struct<w: string, i: int>>")
+    @F.pandas_udf("array<struct<w: string, places: array<int>>>")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Tokens(mode)
         for texts in batches:
-            yield texts.map(lambda t: [{"w": w, "i": i} for w, i in tokenize(t, mode)])
+            yield texts.map(lambda t: [{"w": w, "places": p} for w, p in places(t, mode, known).items()])
+
+    rows = df.select(F.col(key).alias("id"), F.explode(tokens(F.coalesce(F.col(column).cast("string"), F.lit("")))).alias("t"))
+    return rows.select("id", "t.w", "t.places")
 
-    rows = df.select(F.col(key).alias("id"), F.explode(tokens(F.coalesce(F.col(column), F.lit("")))).alias("t"))
-    return rows.groupBy("id", "t.w").agg(F.sort_array(F.collect_list("t.i")).alias("places"))
+
+def places(text: str | None, mode: str, known: Tokens, only: frozenset[str] | None = None) -> dict[str, list[int]]:
+    """Token -> its places in a text; of all tokens, or of those only."""
+    out: dict[str, list[int]] = {}
+    for i, w in enumerate(normalise(text)):
+        if (t := known[w]) and (only is None or t in only):
+            out.setdefault(t, []).append(i)
+    return out
 
 
 def phrase_score(wanted: list[tuple[str, int]], found: dict[str, list[int]]) -> int:
@@ -146,26 +199,98 @@ def phrase_score(wanted: list[tuple[str, int]], found: dict[str, list[int]]) ->
     return score + min(best.values())
 
 
-def _scorer(wanted: list[tuple[str, int]]):
+#: Comparisons of scores, by the operator's text.
+COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
+
+
+def _met(text: str | None, found: dict[str, list[int]], term: str, wanted: list[tuple[str, int]], op: str, value: float) -> int | None:
+    """The score with which a text meets a term, or None. The term itself as the text always does, with 0; a term of one
+    token does where the token stands, if the comparison is with 0 and takes 0 in; others do by their phrase's score."""
+    if text == term:
+        return 0
+    if not any(w in found for w, _ in wanted):
+        return None
+    if len(wanted) == 1:
+        return 0 if "=" in op and op != "!=" and value == 0 else None
+    score = phrase_score(wanted, found)
+    return score if COMPARE[op](score, value) else None
+
+
+def score(columns: list[Column], terms: list[str], op: str = "<=", value: float = math.inf, mode: str = "english", single: bool = False) -> Column:
+    """The least score with which any of the columns meets any of the terms (op value), null where none does. single: a term
+    of one token meets a text whatever the comparison. All columns and terms are read in one pass over Arrow batches."""
+    wanted = [(t, tokenize(t, mode)) for t in terms]
+    only = frozenset(w for _, ws in wanted for w, _ in ws)
+    at_least = (lambda op, value, ws: ("=", 0) if single and len(ws) == 1 else (op, value))
+
     @F.pandas_udf("int")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield rows.map(lambda r: phrase_score(wanted, {e["w"]: list(e["places"]) for e in r}))
-
-    return score
-
-
-def search(df: DataFrame, key: str, column: str, terms: list[str], mode: str = "english", most: int = 0, indexed: DataFrame | None = None) -> DataFrame:
-    """(id, score) of the rows that meet any term with a score of at most `most`; rows whose text is the term score 0."""
-    indexed = index(df, key, column, mode) if indexed is None else indexed
-    out = None
-    for term in terms:
-        wanted = tokenize(term, mode)
-        exact = df.where(F.col(column) == term).select(F.col(key).alias("id"), F.lit(0).alias("score"))
-        met = indexed.where(F.col("w").isin([w for w, _ in wanted])) if wanted else indexed.limit(0)
-
-        grouped = met.groupBy("id").agg(F.collect_list(F.struct("w", "places")).alias("t"))
-        scored = grouped.select("id", _scorer(wanted)("t").alias("score")).where(F.col("score") <= most) if len(wanted) > 1 else met.select("id", F.lit(0).alias("score"))
-        both = exact.unionAll(scored)
-        out = both if out is None else out.unionAll(both)
-    return out.groupBy("id").agg(F.min("score").alias("score"))
+    def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        known = Tokens(mode)
+        for held in batches:
+            out = []
+            for texts in zip(*(held if isinstance(held, tuple) else (held,)), strict=True):  # one column comes by itself
+                best = None
+                for text in texts:
+                    found = places(text, mode, known, only)
+                    for term, ws in wanted:
+                        got = _met(text, found, term, ws, *at_least(op, value, ws))
+                        best = got if best is None else best if got is None else min(best, got)
+                out.append(best)
+            yield pd.Series(out, dtype="Int32")
+
+    return scores(*(c.cast("string") for c in columns))
+
+
+def search(df: DataFrame, key: str, column: str, terms: list[str], mode: str = "english", most: int = 0) -> DataFrame:
+    """(id, score) of the rows that meet any term with a score of at most `most`; rows whose text is the term, or that have a
+    term's only token, score 0. One pass over the texts; only what is met is exchanged."""
+    rows = df.select(F.col(key).alias("id"), score([F.col(column)], terms, "<=", most, mode, single=True).alias("score"))
+    return rows.where("score IS NOT NULL").groupBy("id").agg(F.min("score").alias("score"))
+
+
+@dataclass
+class SearchIndex:
+    """A stored index (id, col, w, places) of the text columns of a table, kept up with its changes by the rows that changed."""
+
+    frame: DataFrame
+    key: str
+    columns: list[str]
+    mode: str
+
+    @staticmethod
+    def built(df: DataFrame, key: str, columns: list[str], mode: str = "english") -> SearchIndex:
+        return SearchIndex(kept(SearchIndex._of(df, key, columns, mode)), key, columns, mode)
+
+    @staticmethod
+    def _of(df: DataFrame, key: str, columns: list[str], mode: str) -> DataFrame:
+        # the raw text stands beside the tokens, under no token, for terms that are the whole text
+        raw = [df.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.lit(c).alias("col"), F.concat(F.lit("\0"), F.sha2(F.col(c).cast("string"), 256)).alias("w"), F.array().cast("array<int>").alias("places")) for c in columns]
+        return reduce(DataFrame.unionAll, [index(df, key, c, mode).select("id", F.lit(c).alias("col"), "w", "places") for c in columns] + raw)
+
+    def changed(self, rows: DataFrame, gone: bool = False) -> SearchIndex:
+        """The index after rows have been written, or deleted (gone): only their tokens are made anew."""
+        ids = rows.select(F.col(self.key).alias("id")).distinct()
+        old = self.frame.join(ids, "id", "left_anti")
+        return SearchIndex(kept(old if gone else old.unionAll(self._of(rows, self.key, self.columns, self.mode))), self.key, self.columns, self.mode)
+
+    def search(self, terms: list[str], op: str = "=", value: float = 0, column: str = "*") -> DataFrame:
+        """(id, score) of the rows that meet any term (op value) in the column, or with * in any. The index is read once, for the terms'
+        tokens alone; only their places meet, by row."""
+        wanted = [(t, tokenize(t, self.mode)) for t in terms]
+        marks = {"\0" + hashlib.sha256(t.encode()).hexdigest(): t for t in terms}
+        rows = self.frame.where(F.col("w").isin([*{w for _, ws in wanted for w, _ in ws}, *marks]))
+        rows = rows if column == "*" else rows.where(F.col("col") == column)
+
+        @F.pandas_udf("int")
+        def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for held in batches:
+                out = []
+                for entries in held:
+                    found = {e["w"]: list(e["places"]) for e in entries}
+                    text = next((t for m, t in marks.items() if m in found), None)
+                    scores = [s for t, ws in wanted if (s := _met(text, found, t, ws, op, value)) is not None]
+                    out.append(min(scores, default=None))
+                yield pd.Series(out, dtype="Int32")
+
+        met = rows.groupBy("id", "col").agg(F.collect_list(F.struct("w", "places")).alias("t")).select("id", best("t").alias("score"))
+        return met.where("score IS NOT NULL").groupBy("id").agg(F.min("score").alias("score"))

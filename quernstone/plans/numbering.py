@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,14 +17,19 @@ def kept(df: DataFrame) -> DataFrame:
     """df made once: written to the folder that spark.checkpoint.dir names, so that it survives lost executors; persisted
     where none is set."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    if not spark.conf.get("spark.checkpoint.dir", None):
         return df.persist()
-    path = f"{shared.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; in a temporary one only where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-")
+    return f"{shared.rstrip('/')}/quernstone-{uuid.uuid4().hex}"
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with column name: 1, 2, 3 ... in the order of partitions and of rows in them, so in that of a sort before.
 

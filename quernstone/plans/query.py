@@ -7,6 +7,7 @@ Nothing is run or collected here, so Catalyst plans the whole.
 from __future__ import annotations
 
 import copy
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -20,6 +21,7 @@ from ..functions import expressions as E
 from ..functions.aggregates import number
 from ..functions.paths import has, kind_of, quoted, reads
 from ..operators.predicates import columns_in, condition, fold, is_condition, join_condition
+from .numbering import kept
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
 
@@ -43,6 +45,7 @@ class Query:
     limit_: int | None = None
     offset_: int = 0
     notes: dict = field(default_factory=dict)
+    action: tuple[str, dict] | None = None  # upsert or delete, run by exec() or write()
 
     def _with(self, **changes) -> Query:
         q = copy.copy(self)
@@ -83,6 +86,29 @@ class Query:
     def offset(self, n: int) -> Query:
         return self._with(offset_=n)
 
+    def from_(self, source, alias: str | None = None) -> Query:
+        return self._with(source=source, name=alias)
+
+    def into(self, table: str) -> Query:
+        return self._with(source=table)
+
+    on = into
+
+    # changes of the table, run by exec() or write()
+    def upsert(self, rows) -> Query:
+        """Rows, or with a condition one patch (a dict) of all rows that it holds for."""
+        return self._with(action=("upsert", {"rows": rows}))
+
+    def delete(self) -> Query:
+        return self._with(action=("delete", {}))
+
+    def update_immutable(self, patch: dict) -> Query:
+        return self._with(action=("upsert", {"rows": patch, "immutable": True}))
+
+    def ttl(self, seconds: float = 60, columns: list[str] | None = None) -> Query:
+        """The rows that are upserted, or only those columns of them, live so many seconds."""
+        return self._with(notes=self.notes | {"ttl": (seconds, columns)})
+
     def comment(self, text: str) -> Query:
         return self._with(notes=self.notes | {"comment": text})
 
@@ -100,8 +126,31 @@ class Query:
     def df(self) -> DataFrame:
         return compile_query(self)
 
-    def exec(self) -> list[dict]:
-        return [r.asDict(recursive=True) for r in self.df().collect()]
+    def write(self) -> DataFrame:
+        """Runs the change, and gives the rows written or deleted."""
+        db, (what, more) = self.database, self.action
+        if what == "delete":
+            return db.delete(self.source, self.where_)
+        rows = more["rows"]
+        if isinstance(rows, dict) and (self.where_ is not None or more.get("immutable")):
+            if "ttl" in self.notes:
+                raise ValueError("a time to live is given with the rows, not with a condition")
+            return db.update(self.source, rows, self.where_, more.get("immutable", False))
+        seconds, columns = self.notes.get("ttl", (None, None))
+        return db.upsert(self.source, [rows] if isinstance(rows, dict) else rows, seconds, columns)
+
+    def exec(self, events: bool = False) -> list[dict]:
+        """The rows; with events each in an envelope of target, event, query and result."""
+        start = time.time()
+        rows = [r.asDict(recursive=True) for r in (self.write() if self.action else self.df()).collect()]
+        table = self.source if isinstance(self.source, str) else self.name
+        if not self.action:
+            self.database.fire("select", table, result=rows)
+        took, slow = time.time() - start, self.notes.get("slow")
+        if slow is not None and took > slow:
+            self.database.fire("slow query", table, query=self.emit(), took=took)
+        what = self.action[0] if self.action else "select"
+        return [{"target": table, "event": what, "query": self.emit(), "result": r} for r in rows] if events else rows
 
     def stream(self) -> Iterator[dict]:
         return (r.asDict(recursive=True) for r in self.df().toLocalIterator())
@@ -111,8 +160,35 @@ class Query:
 
         return csv_lines(self.df(), header)
 
+    def cache(self, key: str, page: int | None = None) -> DataFrame | Iterator[DataFrame]:
+        """The result made once under that key, for Database.page; whole, or as pages of so many rows."""
+        held = self.database.page(key, self, 0, 2**62)
+        if page is None:
+            return held
+        return (self.database.page(key, None, i, page) for i in range(0, held.count(), page))
+
+    def tables(self) -> list[str]:
+        """Names of all tables that the query reads: its own, joined ones and those of graphs and unions."""
+        named = [self.source, *(j["with"]["table"] for j in self.joins)]
+
+        def graphs(found) -> None:
+            for g in found if isinstance(found, list) else [found]:
+                named.append(g["with"]["table"])
+                graphs(g.get("graph", []))
+
+        graphs(self.graphs)
+        inner = [t for q in (self.union_[0] if self.union_ else []) for t in q.tables()]
+        return list(dict.fromkeys([*(t for t in named if isinstance(t, str) and t in self.database.tables), *inner]))
+
+    def listen(self, log, deliver: Callable[[DataFrame], None], checkpoint: str, unique: bool = True, trigger: dict | None = None):
+        """The query run anew whenever a table that it reads has changed, as told by a ChangeLog; see streaming.changes.listen."""
+        from ..streaming.changes import listen
+
+        return listen(log, self.tables(), self.df, deliver, checkpoint, unique, trigger)
+
     def copy_to(self, table: str, mutate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        rows = self.df()
+        """The result, made once, also goes into another table."""
+        rows = kept(self.df())
         self.database.upsert(table, mutate(rows) if mutate else rows)
         return rows
 
@@ -246,7 +322,9 @@ def _finished(q: Query, df: DataFrame) -> DataFrame:
     nodes = [(E.parse(e), a or e) for e, a, _ in items if e != "*"]
     grouped = bool(q.group) or any(E.is_aggregate(n) for n, _ in nodes)
     if grouped:
-        df = _grouped(q, df, nodes)
+        df, keys = _grouped(q, df, nodes)
+        if not q.order and any(g.strip().lower().endswith((" asc", " desc")) for g in q.group):  # groups come in the order that was asked for
+            q = q._with(order=[f"{keys[sort_key(g)[0]]} {'asc' if sort_key(g)[1] else 'desc'}" for g in q.group])
         nodes = [(E.Node("path", name), name) for _, name in nodes]
     if q.having_ is not None:
         aliases = {name: (F.col(quoted(name)) if grouped else E.build(n, df)) for n, name in nodes}
@@ -306,8 +384,8 @@ def _on(df: DataFrame, where) -> Column:
     return compare(df, F.col(quoted(where[0])), where[1], where[2])
 
 
-def _grouped(q: Query, df: DataFrame, nodes: list[tuple[E.Node, str]]) -> DataFrame:
-    """One row a group, with select-list columns by name. A bare column takes its value from one row of the group: the extreme one if
+def _grouped(q: Query, df: DataFrame, nodes: list[tuple[E.Node, str]]) -> tuple[DataFrame, dict[str, str]]:
+    """One row a group, and the names of the keys' columns; with select-list columns by name. A bare column takes its value from one row of the group: the extreme one if
     the first aggregate is MAX or MIN, else the first in sort order."""
     keys = {sort_key(g)[0]: E.column(sort_key(g)[0], df) for g in q.group}
     names = {k: next((n for node, n in nodes if node.kind == "path" and node.value == k), k) for k in keys}
@@ -332,4 +410,4 @@ def _grouped(q: Query, df: DataFrame, nodes: list[tuple[E.Node, str]]) -> DataFr
     back = {k: f"_key{i}" for i, k in enumerate(keys)}
     aliases = {k: next((E.split_alias(t)[1] or k for e, t in texts.items() if e == k), names[k]) for k in keys}
     chosen = [F.col(back[k]).alias(aliases[k]) for k in keys] + [F.col(quoted(n)) for n in out]
-    return made.select(*chosen)
+    return made.select(*chosen), aliases

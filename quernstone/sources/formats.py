@@ -28,12 +28,25 @@ def csv_lines(df: DataFrame, header: bool = True) -> DataFrame:
     return df.sparkSession.createDataFrame([(0, names)], "at int, line string").unionAll(lines)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header: columns that hold only true and false become booleans, others stay text; quotes as in RFC 4180."""
-    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    tests = [F.bool_and(F.col(quoted(c)).isNull() | F.col(quoted(c)).isin("true", "false")).alias(f"b{i}") for i, c in enumerate(df.columns)]
-    flags = df.agg(*tests, *(F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(df.columns))).first()
-    return df.select(*((F.col(quoted(c)) == "true" if flags[f"b{i}"] and flags[f"n{i}"] else F.col(quoted(c))).alias(c) for i, c in enumerate(df.columns)))
+def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """CSV with a header, quotes as in RFC 4180. Columns that hold only true and false become booleans; columns whose texts all begin with
+    { or [ and are JSON become the structures that they hold; others stay text. One pass more over the text finds that out."""
+    df = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    tests = lambda i, c: (F.bool_and(c.isin("true", "false")).alias(f"b{i}"), F.bool_and(c.rlike(r"^\s*[\[{]")).alias(f"j{i}"))
+    flags = df.agg(F.count(F.lit(1)), *(x for i, c in enumerate(df.columns) for x in tests(i, F.col(quoted(c))))).first()
+
+    def typed(i: int, name: str):
+        c = F.col(quoted(name))
+        if flags[f"b{i}"]:
+            return c == "true"
+        if flags[f"j{i}"]:
+            cells = F.concat(F.lit('{"v":'), c, F.lit("}"))
+            kind = spark.read.json(df.where(c.isNotNull()).select(cells.alias("v")).rdd.map(lambda r: r[0])).schema
+            if kind.names == ["v"]:
+                return F.from_json(cells, kind)["v"]
+        return c
+
+    return df.select(*(typed(i, c).alias(c) for i, c in enumerate(df.columns)))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -11,17 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHANGE = T.StructType([T.StructField("table", T.StringType()), T.StructField("op", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("row", T.StringType())])
+from ..functions.paths import quoted
+
+CHANGE = T.StructType([T.StructField("table", T.StringType()), T.StructField("op", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("row", T.StringType()), T.StructField("old", T.StringType())])
 
 
 class ChangeLog:
-    """Writes the changes of a database's tables to a folder, as (table, op, at, row as JSON), from where they stream."""
+    """Writes the changes of a database's tables to a folder, as (table, op, at, row and old row as JSON), from where they stream."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def __call__(self, table: str, op: str, rows: DataFrame) -> None:
-        rows.select(F.lit(table).alias("table"), F.lit(op).alias("op"), F.current_timestamp().alias("at"), F.to_json(F.struct("*")).alias("row")).write.mode("append").parquet(self.path)
+        """For Database.changes."""
+        self._append(table, op, rows.select(F.to_json(F.struct("*")).alias("row"), F.lit(None).cast("string").alias("old")))
+
+    def event(self, told: dict) -> None:
+        """For Database.listen_to: the same, with the row that was there before."""
+        if told.get("key") is None:
+            return
+        key = quoted(told["key"])
+        side = lambda df, name: df.select(F.col(key).alias("k"), F.to_json(F.struct("*")).alias(name))
+        self._append(told["target"], told["event"], side(told["result"], "row").join(side(told["old"], "old"), "k", "left").select("row", "old"))
+
+    def _append(self, table: str, op: str, rows: DataFrame) -> None:
+        rows.select(F.lit(table).alias("table"), F.lit(op).alias("op"), F.current_timestamp().alias("at"), "row", "old").write.mode("append").parquet(self.path)
 
     def stream(self, table: str | None = None, op: str | None = None) -> DataFrame:
         """All events, or those of a table, and of a kind: upsert, delete, or change for both."""
@@ -40,7 +54,7 @@ def listen(log: ChangeLog, tables: list[str], rerun: Callable[[], DataFrame], de
         if changes.isEmpty():
             return
         rows = rerun()
-        mark = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first() if unique else object()
+        mark = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*map(quoted, rows.columns)).cast("decimal(38,0)"))).first() if unique else object()
         if mark != last[0]:
             last[0] = mark
             deliver(rows)

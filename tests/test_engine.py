@@ -171,3 +171,188 @@ def test_jdbc(spark, tmp_path):
     df = read_jdbc(spark, url, "T", key="ID", parts=4, **driver)
     assert df.rdd.getNumPartitions() == 4 and df.where("V = 3").count() == 14
     assert read_jdbc(spark, url, "T", **driver).agg(F.sum("ID")).first()[0] == 4950
+
+
+def test_search_survives_long_numbers_and_fractions():
+    assert S.normalise("1" * 400 + "/2") == ["1" * 400 + "2"] and S.normalise("9" * 5000) == ["9" * 5000]
+    assert S.normalise("12,345.5 7/0 1/3") == ["12345.5000", "70", "0.3333"]
+
+
+def test_search_in_conditions(spark):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "quick brown foxes", "x"), (2, "quick red brown fox", None), (3, None, "quick brown"), (4, "brown", "y"), (5, "quick brown", "z")], "id long, s string, t string"))
+    for term, op, n, want in (("quick brown", "=", 0, [1, 5]), ("quick brown", "<=", 1, [1, 2, 5]), ("quick brown", "<", 3, [1, 2, 4, 5]), ("quick brown", ">", 0, [2, 4, 5]), ("brown", "=", 0, [1, 2, 4, 5]), ("brown", "<=", 0, [1, 2, 4, 5]), ("brown", "<", 3, [4]), ("brown", "!=", 0, [4])):
+        assert ids(d.query("t").where([f"SEARCH(s, '{term}', 'tokenizer:english-stem')", op, n])) == want, (term, op, n)
+    assert ids(d.query("t").where(["SEARCH(*, 'quick brown')", "=", 0])) == [1, 3, 5]
+    got = {r["id"]: r["score"] for r in d.query("t").select(["id", "SEARCH(s, 'quick brown', 'red') AS score"]).exec()}
+    assert got == {1: 0, 2: 0, 3: None, 4: 2, 5: 0}
+    d.tables["t"].indexes = {"s:string": {"search": {"tokenizer": "english-stem"}}, "t:string": {"search": True}}
+    d.custom("rebuild search", "t")
+    found = lambda *a, **k: sorted(map(tuple, d.tables["t"].search.search(*a, **k).collect()))
+    assert found(["quick brown"]) == [(1, 0), (3, 0), (5, 0)] and found(["quick brown"], column="s") == [(1, 0), (5, 0)]
+    d.delete("t", ["id", "=", 1])
+    d.upsert("t", [{"id": 5, "s": "slow", "t": None}, {"id": 6, "s": "quick, brown!", "t": "a"}])
+    assert found(["quick brown"]) == [(3, 0), (6, 0)] and found(["quick brown"], "<=", 1) == [(2, 1), (3, 0), (6, 0)] and found(["SLOW", "slow"]) == [(5, 0)]
+
+
+def test_upserts_patch_in_order_and_by_null(spark):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, s string, x double"))
+    left = lambda: sorted(map(tuple, d.rows("t").collect()), key=str)
+    d.upsert("t", [{"id": 1, "s": None}])
+    assert left() == [(1, None, 1.0), (2, "b", 2.0)]
+    d.upsert("t", [{"id": 2, "s": "c"}, {"id": 2, "x": 5.0}, {"id": 3, "s": "n", "x": None}, {"id": 2, "s": None}])
+    assert left() == [(1, None, 1.0), (2, None, 5.0), (3, "n", None)]
+    d.upsert("t", spark.createDataFrame([(1, "p"), (1, "q"), (4, "r")], "id long, s string").coalesce(1))
+    assert left() == [(1, "q", 1.0), (2, None, 5.0), (3, "n", None), (4, "r", None)]
+
+
+def test_plans_of_changed_tables_stay_short(spark):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "a")], "id long, s string"))
+    for i in range(12):
+        d.upsert("t", [{"id": i, "s": str(i)}])
+    assert d.rows("t").count() == 12 and d.tables["t"].df._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") <= 4
+
+
+def test_time_to_live(spark):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "id long, s string"))
+    d.query("t").upsert([{"id": 1}, {"id": 5, "s": "e"}]).ttl(-1).exec()
+    d.query("t").upsert([{"id": 2}]).ttl(-1, ["s"]).exec()
+    d.query("t").upsert([{"id": 3}]).ttl(1000).exec()
+    left = lambda: sorted(map(tuple, d.rows("t").collect()))
+    assert left() == [(2, None), (3, "c"), (4, "d")]
+    assert 900 < d.expires("t", 3).first()["seconds"] <= 1000 and d.expires("t", 4).count() == 0
+    d.clear_ttl("t", 3)
+    assert d.expires("t", 3).count() == 0
+    d.sweep("t")
+    assert sorted(map(tuple, d.tables["t"].df.collect())) == [(2, None), (3, "c"), (4, "d")] and d.expires("t", 2).count() == 0
+
+
+def test_events_hooks_and_envelopes(spark, tmp_path):
+    from quernstone.sources.tables import Cancelled
+
+    d, told = Database(spark), []
+    d.listen_to("*", lambda e: told.append((e["event"], e["target"])))
+    d.listen_to("change", lambda e: told.append(("change", sorted(r["s"] for r in e["old"].collect()))), "t")
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    d.listen_to("change", log.event)
+    d.connect()
+    d.attach("t", spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string"))
+    assert d.query("t").where(["id", "=", 1]).exec(events=True)[0]["result"] == {"id": 1, "s": "a"}
+    d.query("t").where(["id", "=", 1]).upsert({"s": "z"}).exec()
+    d.query("t").delete().where(["id", "=", 2]).exec()
+    assert told == [("connect", "main"), ("ready", "main"), ("select", "t"), ("upsert", "t"), ("change", ["a"]), ("delete", "t"), ("change", ["b"])]
+    assert sorted((r["op"], r["row"], r["old"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("delete", '{"id":2,"s":"b"}', '{"id":2,"s":"b"}'), ("upsert", '{"id":1,"s":"z"}', '{"id":1,"s":"a"}')]
+    order = []
+    d.on("addRow", lambda rows, name: order.append("low") or rows.where("id > 0"))
+    d.on("addRow", lambda rows, name: order.append("high") or rows, priority=5)
+
+    def refuse(rows, name):
+        raise Cancelled
+
+    d.upsert("t", [{"id": -1, "s": "q"}, {"id": 7, "s": "r"}])
+    assert order == ["high", "low"] and ids(d.query("t")) == [1, 7]
+    d.on("deleteRow", refuse)
+    with pytest.raises(Cancelled):
+        d.delete("t")
+    d.off("deleteRow", refuse)
+    d.delete("t")
+    d.on("customQuery", lambda answer, action, table, args: (action, table, args) if action == "dance" else answer)
+    assert d.custom("dance", "t", fast=True) == ("dance", "t", {"fast": True})
+    with pytest.raises(ValueError):
+        d.custom("sing", "t")
+
+
+def test_databases_and_drops(spark):
+    from quernstone.sources.tables import Databases
+
+    all_ = Databases(spark)
+    d = all_.create("one")
+    all_.create("two")
+    assert all_.names() == ["one", "two"] and all_.current.name == "two" and all_.use("one") is d
+    all_.drop("two")
+    with pytest.raises(KeyError):
+        all_.use("two")
+    for how, left in (("CASCADE", []), ("SET_NULL", [(1, None), (2, None)])):
+        d.attach("p", spark.createDataFrame([(1,), (2,)], "id long"))
+        d.attach("c", spark.createDataFrame([(1, 1), (2, 2)], "cid long, p long"))
+        d.tables["c"].indexes = {"p:int": {"foreignKey": {"target": "p.id", "onDelete": how}}}
+        d.drop("p")
+        assert sorted(tuple(r) for r in d.rows("c").select("cid", "p").collect()) == left and "p" not in d.tables
+        with pytest.raises(Exception, match="p"):
+            d.sql("SELECT * FROM p").collect()
+    for name, model in (("1x", {"id:int": {}}), ("select", {"id:int": {}}), ("ok", {"id:geo": {"pk": True}}), ("ok", {"a:int": {"pk": True}, "b:int": {"pk": True}})):
+        with pytest.raises(ValueError):
+            d.create_table(name, model)
+
+
+def test_sql_that_cannot_be_read(spark):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "a")], "id long, s string"))
+    for text in ("UPDATE t", "INSERT INTO t (id) VALUES (1, 2)", "MERGE INTO t USING t ON 1 = 1 WHEN SOMETIMES THEN DELETE", "DELETE t", "ALTER TABLE t DROP COLUMN id", "CREATE SOMETHING x"):
+        with pytest.raises(ValueError):
+            d.sql(text)
+
+
+def test_sql_tables_from_nothing(spark, tmp_path):
+    d = Database(spark)
+    d.sql("CREATE TABLE p (id INT PRIMARY KEY AUTO_INCREMENT, name VARCHAR(20) NOT NULL UNIQUE, ok BOOLEAN DEFAULT true, w DOUBLE DEFAULT 1.5)")
+    d.sql("CREATE TABLE IF NOT EXISTS c (id INT PRIMARY KEY, p INT, FOREIGN KEY (p) REFERENCES p (id) ON DELETE CASCADE)")
+    d.sql("INSERT INTO p (name) VALUES ('x'), ('y')")
+    d.sql("INSERT INTO c VALUES (1, 1), (2, 2), (3, 1)")
+    assert sorted(map(tuple, d.rows("p").collect())) == [(1, "x", True, 1.5), (2, "y", True, 1.5)]
+    with pytest.raises(ValueError):
+        d.sql("INSERT INTO p (name) VALUES ('x')")
+    d.sql("DELETE FROM p WHERE id = 1")
+    assert [tuple(r) for r in d.rows("c").collect()] == [(2, 2)]
+    d.sql("ALTER TABLE p ADD COLUMN z INT DEFAULT 4")
+    d.sql("ALTER TABLE p RENAME COLUMN z TO zz")
+    d.sql("ALTER TABLE p DROP COLUMN ok")
+    d.sql("CREATE UNIQUE INDEX i ON p (w)")
+    assert [r.asDict() for r in d.rows("p").collect()] == [{"id": 2, "name": "y", "w": 1.5, "zz": 4}] and d.tables["p"].indexes["w:string"]["unique"]
+    (tmp_path / "f.csv").write_text('"a","b","c"\n"1",true,"{""q"": [1,2]}"\n"2",false,"{""q"": [3]}"\n')
+    assert [tuple(r) for r in d.sql(f"SELECT a, b, c.q[0] AS q FROM '{tmp_path}/f.csv' WHERE b").collect()] == [("1", True, 1)]
+    assert [tuple(r) for r in d.sql(f"SELECT TOP 1 a FROM CSV('{tmp_path}/f.csv') ORDER BY a DESC UNION ALL SELECT TOP 1 name FROM p ORDER BY name").collect()] == [("2",), ("y",)]
+    d.sql("DROP TABLE p")
+    assert d.show_tables().first()[0] == "c" and d.rows("c").count() == 0
+
+
+def test_adapter(spark, tmp_path):
+    from quernstone.sources.adapter import adapted, register_adapter
+
+    def read(options, part):
+        yield from ((part * 10 + i, f"v{part}") for i in range(3))
+
+    def write(options, rows):
+        import uuid
+
+        with open(f"{options['to']}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines(f"{r.id},{r.v}\n" for r in rows)
+
+    register_adapter(spark, "mine", "id long, v string", lambda options: range(int(options["parts"])), read, write)
+    df = adapted(spark, "mine", parts="4")
+    assert df.count() == 12 and df.where("v = 'v2'").count() == 3 and df.rdd.getNumPartitions() == 4
+    df.write.format("mine").option("to", str(tmp_path)).mode("append").save()
+    assert sum(len(f.read_text().splitlines()) for f in tmp_path.iterdir()) == 12
+
+
+def test_listening_query_and_builder(spark, tmp_path):
+    d = Database(spark)
+    d.attach("t", spark.createDataFrame([(1, "a")], "id long, s string"))
+    d.attach("u", spark.createDataFrame([(1, 5)], "uid long, n long"))
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    d.changes.append(log)
+    q = d.query("t").join({"type": "inner", "with": {"table": "u"}, "on": ["t.id", "=", "u.uid"]})
+    assert q.tables() == ["t", "u"]
+    d.query("x").into("u").upsert([{"uid": 2, "n": 6}]).exec()
+    d.query("x").on("t").upsert([{"id": 2, "s": "b"}]).exec()
+    seen = []
+    q.listen(log, lambda df: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
+    assert seen == [2]
+    pages = [sorted(r["id"] for r in p.collect()) for p in d.query("x").from_("t").order_by(["id ASC"]).cache("k", page=1)]
+    assert pages == [[1], [2]]
+    assert d.view if d.views else True
+    d.views["by"] = lambda db, n: db.query("t").where(["id", "=", n])
+    assert ids(d.view("by", n=2)) == [2]
