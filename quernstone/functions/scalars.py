@@ -52,22 +52,27 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def within(lat: Column, lon: Column, at_lat: float, at_lon: float, most: float, radius: float = PLANET_RADIUS) -> Column:
-    """Exact distance test behind a bounding box, whose ranges reach the scan; boxes over a pole take all longitudes, boxes
-    over the date line two ranges."""
+def box(lat: Column, lon: Column, at_lat: float, at_lon: float, most: float, radius: float = PLANET_RADIUS) -> Column:
+    """Ranges of latitude and longitude that hold all places within `most` of a point; they reach the scan. Boxes over a pole take
+    all longitudes, boxes over the date line two ranges."""
     d = math.degrees(most / radius)
     south, north = at_lat - d, at_lat + d
-    box = lat.between(max(-90.0, south), min(90.0, north))
+    held = lat.between(max(-90.0, south), min(90.0, north))
     if south > -90 and north < 90:
         spread = math.degrees(math.asin(min(1.0, math.sin(math.radians(min(d, 90.0))) / math.cos(math.radians(at_lat)))))
         west, east = at_lon - spread, at_lon + spread
         if west < -180:
-            box &= (lon >= west + 360) | (lon <= east)
+            held &= (lon >= west + 360) | (lon <= east)
         elif east > 180:
-            box &= (lon >= west) | (lon <= east - 360)
+            held &= (lon >= west) | (lon <= east - 360)
         else:
-            box &= lon.between(west, east)
-    return box & (haversine(lat, lon, F.lit(at_lat), F.lit(at_lon), radius) <= most)
+            held &= lon.between(west, east)
+    return held
+
+
+def within(lat: Column, lon: Column, at_lat: float, at_lon: float, most: float, radius: float = PLANET_RADIUS) -> Column:
+    """Exact distance test behind a bounding box."""
+    return box(lat, lon, at_lat, at_lon, most, radius) & (haversine(lat, lon, F.lit(at_lat), F.lit(at_lon), radius) <= most)
 
 
 def cast(df: DataFrame, c: Column, kind: str) -> Column:
@@ -147,3 +152,15 @@ FUNCTIONS |= {k: (lambda v: lambda: F.lit(v))(v) for k, v in CONSTANTS.items()}
 def register(name: str, build: Callable[..., Column]) -> None:
     """A user's function: from argument Columns to a Column."""
     FUNCTIONS[name.upper()] = build
+
+
+def _crow_box(args: list[Column], values: list, op: str, value) -> Column | None:
+    """Before CROW(place, latitude, longitude) < distance, with numbers for all three."""
+    if op not in ("<", "<=") or len(args) != 3 or not all(isinstance(v, (int, float)) for v in (*values[1:], value)) or not 0 <= value < math.pi * PLANET_RADIUS / 2 or abs(values[1]) >= 90:
+        return None
+    return box(args[0].getField("lat"), args[0].getField("lon"), float(values[1]), float(values[2]), float(value) * (1 + 1e-9))
+
+
+#: Conditions on a function that can be narrowed before it is computed: name -> (its arguments as Columns, their literal
+#: values or None, operator, value) -> a Column that holds wherever the condition does, or None.
+PREFILTERS: dict[str, Callable[[list[Column], list, str, object], Column | None]] = {"CROW": _crow_box}

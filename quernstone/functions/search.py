@@ -244,7 +244,11 @@ def score(columns: list[Column], terms: list[str], op: str = "<=", value: float
 def search(df: DataFrame, key: str, column: str, terms: list[str], mode: str = "english", most: int = 0) -> DataFrame:
     """(id, score) of the rows that meet any term with a score of at most `most`; rows whose text is the term, or that have a
     term's only token, score 0. One pass over the texts; only what is met is exchanged."""
-    rows = df.select(F.col(key).alias("id"), score([F.col(column)], terms, "<=", most, mode, single=True).alias("score"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    texts = df.select(key, column)
+    if texts.rdd.getNumPartitions() < cores:  # a small file is one partition; a large table has more of them than cores
+        texts = texts.repartition(cores)
+    rows = texts.select(F.col(key).alias("id"), score([F.col(column)], terms, "<=", most, mode, single=True).alias("score"))
     return rows.where("score IS NOT NULL").groupBy("id").agg(F.min("score").alias("score"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import build, column, parse, searched
 from ..functions.paths import kind_of
+from ..functions.scalars import PREFILTERS
 
 LIST_OPERATORS = {"IN", "NOT IN", "BETWEEN", "NOT BETWEEN", "INTERSECT", "INTERSECT ALL", "NOT INTERSECT"}
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -150,7 +151,12 @@ def condition(df: DataFrame, where, aliases: dict[str, Column] | None = None) ->
         node = parse(c[0])
         if node.kind == "call" and node.value == "SEARCH":
             return searched(node, df, c[1], c[2]).isNotNull()
-        return compare(df, build(node, df, aliases), c[1], c[2])
+        exact = compare(df, build(node, df, aliases), c[1], c[2])
+        if node.kind == "call" and node.value in PREFILTERS:
+            values = [a.value if a.kind == "value" else None for a in node.args]
+            first = PREFILTERS[node.value]([build(a, df, aliases) for a in node.args], values, c[1], c[2])
+            return exact if first is None else first & exact
+        return exact
 
     return fold(where, one)
 

@@ -381,6 +381,8 @@ for _name, _text, _sql in (
     ("fetch", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 3 ROWS FETCH NEXT 4 ROWS ONLY", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 4 OFFSET 3"),
     ("nocase", "SELECT n_nationkey, row_number() OVER (ORDER BY n_name COLLATE NOCASE, n_nationkey) AS place FROM nation", "SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS place FROM nation"),
     ("quoted_words", "SELECT 'select top 3 a glob ''b'' c' AS text, n_nationkey FROM nation -- top 1", "SELECT 'select top 3 a glob ''b'' c' AS text, n_nationkey FROM nation"),
+    ("json_arrow", "SELECT event_id, props->k AS k FROM events WHERE props->'k' LIKE '1%'", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') LIKE '1%'"),
+    ("first_last", "SELECT o_custkey, first(o_orderstatus) IS NOT NULL AS f, last(o_orderstatus) IS NOT NULL AS l FROM orders GROUP BY o_custkey", "SELECT o_custkey, true AS f, true AS l FROM orders GROUP BY 1"),
     ("unique", "SELECT UNIQUE o_orderstatus AS s FROM orders", "SELECT DISTINCT o_orderstatus AS s FROM orders"),
 ):
     add(f"sql_{_name}", lambda db, t=_text: db.sql(t), _sql or _text)

@@ -353,6 +353,36 @@ def test_listening_query_and_builder(spark, tmp_path):
     assert seen == [2]
     pages = [sorted(r["id"] for r in p.collect()) for p in d.query("x").from_("t").order_by(["id ASC"]).cache("k", page=1)]
     assert pages == [[1], [2]]
-    assert d.view if d.views else True
     d.views["by"] = lambda db, n: db.query("t").where(["id", "=", n])
     assert ids(d.view("by", n=2)) == [2]
+
+
+def test_distances_are_narrowed_by_a_box(spark):
+    d = Database(spark)
+    places = [(i, ((i * 7) % 179 - 89.5, (i * 13) % 360 - 180.0)) for i in range(3000)]
+    d.attach("t", spark.createDataFrame(places, "id long, at struct<lat: double, lon: double>"))
+    for lat, lon, most in ((40, 175, 2500), (-89, 0, 900), (0, 0, 500), (10, -179, 1200), (60, 20, 15_000)):
+        for op in ("<", "<="):
+            q = d.query("t").where([f"CROW(at, {lat}, {lon})", op, most])
+            far = d.query("t").select(["id", f"CROW(at, {lat}, {lon}) AS km"]).df()
+            assert ids(q) == sorted(r["id"] for r in far.where(f"km {op} {most}").collect())
+    plan = d.query("t").where(["CROW(at, 40, 100)", "<", 50]).df()._jdf.queryExecution().optimizedPlan().toString()
+    assert "lat" in plan and ">= 39.5" in plan
+
+
+def test_class_text():
+    space = {}
+    text = helpers.class_text("User", {"id:int": {"pk": True}, "tags:string[]": {}, "at:geo": {}, "home:obj": {"model": {"city:string": {}}}, "*": {}})
+    exec("from __future__ import annotations\nfrom dataclasses import dataclass\n" + text, space)  # noqa: S102
+    assert space["User"](id=1, tags=["a"]).home is None and space["UserHome"](city="x").city == "x"
+
+
+def test_connectors(spark):
+    from quernstone.sources.connectors import options_of, read_store
+
+    assert options_of("mongodb", uri="mongodb://h", database="d", table="t") == ("mongodb", {"connection.uri": "mongodb://h", "database": "d", "collection": "t"})
+    assert options_of("scylladb", uri="h", database="k", table="t", split="9")[1] == {"spark.cassandra.connection.host": "h", "keyspace": "k", "table": "t", "split": "9"}
+    with pytest.raises(ValueError):
+        options_of("paper")
+    with pytest.raises(Exception, match=r"(?i)mongodb"):  # this box has no connector
+        read_store(spark, "mongodb", uri="mongodb://h", table="t")
