@@ -95,9 +95,9 @@ def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame
     """rows joined (left or inner) with found, whose keys are unique. hot has the columns of found for hot keys: it is
     broadcast, and their rows are joined where they are; only the others are exchanged."""
     more = [c for c in found.columns if c not in keys]
-    marked = rows.join(F.broadcast(hot.select(*keys, F.struct(*more).alias("_hot"))), keys, "left")
-    cold = marked.where("_hot IS NULL").select(*rows.columns).join(found, keys, how).select(*rows.columns, *more)
-    return cold.unionAll(marked.where("_hot IS NOT NULL").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in more)))
+    hot = F.broadcast(hot.select(*keys, *more))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(found, keys, how)
+    return cold.select(*rows.columns, *more).unionAll(rows.join(hot, keys).select(*rows.columns, *more))
 
 
 class Kept(dict):
