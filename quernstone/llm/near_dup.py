@@ -171,7 +171,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     hot = F.broadcast(hubs(pairs, "a", pairs.count()))
     parts = F.coalesce("parts", F.lit(1))
     dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
-    centres = side("a").join(hot, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    more = side("a").join(hot, "a").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
+    centres = side("a").withColumn("salt", F.lit(0)).unionAll(more)
     return dealt.join(side("b"), "b").join(centres, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, near double, linked boolean")
 
 
