@@ -47,6 +47,15 @@ def test_sharding_rows(spark, odd):
     assert sharding.assign(odd.limit(0), "doc_id").count() == 0
 
 
+def test_sharding_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    table = sharding.lookup_table(sharding.SHARDS)
+    got = {r["doc_id"]: (r["slot"], r["shard"]) for r in queries.sharded(spark, d).collect()}
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()]
+    slots = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) % sharding.SIZE for i in ids}  # noqa: S324
+    assert got == {i: (s, sharding.SHARDS[table[s]]) for i, s in slots.items()}
+
+
 def texts():
     random.seed(5)
     alphabet = ["a", "b", " ", "\n", "é", "漢", "1", "'", "s", "!", "<|endoftext|>", "'re", "  ", "the", "😀", "\u0378"]
