@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -7,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from quernstone.plans.session import session, ship  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
