@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,7 +18,16 @@ BROADCAST_IDS = 1_000_000
 #: Rows of one key that a task takes as they are; keys with more are dealt over several tasks.
 SPLIT = 256
 _own: dict[str, str] = {}
-_scratch: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """The scratch blocks that are open, innermost last: each thread has its own, so that operators may run side by side."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, and gives later joins true sizes."""
     path = f"{shared_dir(df.sparkSession)}/quernstone-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,19 +63,20 @@ def written(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that are written inside are removed at the end, except those made by the function that this gives, which
     belong to the block around this one, if there is one."""
-    _scratch.append([])
+    blocks = _open.blocks
+    blocks.append([])
 
     def kept(df: DataFrame) -> DataFrame:
         out = written(df)
-        path = _scratch[-1].pop()
-        if len(_scratch) > 1:
-            _scratch[-2].append(path)
+        path = blocks[-1].pop()
+        if len(blocks) > 1:
+            blocks[-2].append(path)
         return out
 
     try:
         yield kept
     finally:
-        for path in _scratch.pop():
+        for path in blocks.pop():
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
