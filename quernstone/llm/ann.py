@@ -217,3 +217,15 @@ def _ranker(k: int):
 def _dot(x: np.ndarray, y: np.ndarray) -> float:
     """The inner product summed from the first component on, so that equal vectors score alike wherever they stand."""
     return float(np.add.accumulate(x * y)[-1])
+
+
+#: Brute force in SQL. Up to LEAST_CANDIDATES rows every query visits all cells, so that the search is exact and equals it; on
+#: larger tables the search is held to a recall instead.
+ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

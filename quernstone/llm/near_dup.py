@@ -322,3 +322,22 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> D
     several = semi(left.where(has_words), again, "doc_id").select(*docs.columns).dropDuplicates()
     single = semi(left.where(has_words), again, "doc_id", "left_anti").select(*docs.columns)
     return left.where(~has_words).unionAll(single).unionAll(several)
+
+
+#: The query of k = 4 in SQL, by joining all shingles: for small tables, as frequent shingles and large classes make many rows.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+runs AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER (PARTITION BY doc_id ORDER BY i), lead(word, 2) OVER (PARTITION BY doc_id ORDER BY i),
+                                 lead(word, 3) OVER (PARTITION BY doc_id ORDER BY i)) AS shingle FROM words),
+sets AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE i <= greatest(1, n - 3)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY a, b),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+walk AS (SELECT doc_id, doc_id AS met FROM documents UNION SELECT walk.doc_id, links.b FROM walk JOIN links ON links.a = walk.met),
+classes AS (SELECT doc_id, min(met) AS component_id FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN classes ON classes.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+"""

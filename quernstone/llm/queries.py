@@ -72,4 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": neighbours,
     "op10_warc_revisits": revisits,
 }
-ORACLE_SQL: dict[str, str] = {"op7_url_rules": url_rules.ORACLE, "op10_warc_revisits": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": sharding.oracle(),
+    "op5_near_dedup": near_dup.ORACLE,
+    "op7_url_rules": url_rules.ORACLE,
+    "op9_nearest_neighbours": ann.ORACLE,
+    "op10_warc_revisits": warc.ORACLE,
+}

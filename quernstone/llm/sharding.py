@@ -77,3 +77,14 @@ def balance(placed: DataFrame) -> DataFrame:
 def write_shards(placed: DataFrame, path: str) -> None:
     """One folder per shard. Every task writes its own file to each folder, so no shard's rows meet in one task."""
     placed.write.partitionBy("shard").parquet(path)
+
+
+def oracle() -> str:
+    """The query in SQL, with the lookup table as a string of one character a slot: the turns of the shards themselves are
+    no set operation, and the table is held against brute force in the tests."""
+    filled = "".join(chr(48 + x) for x in lookup_table(SHARDS))
+    return f"""
+WITH s AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SIZE} AS slot FROM documents),
+t AS (SELECT '{filled}' AS filled)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(ascii(filled[slot + 1]) - 48 AS VARCHAR), 3, '0') AS shard FROM s, t
+"""

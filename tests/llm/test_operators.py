@@ -6,7 +6,9 @@ import json
 import random
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -517,3 +519,21 @@ def test_kept_words_are_bounded_by_bytes():
         text = " ".join(str(random.random()) for _ in range(200))
         assert e.ids(text) == t.encode(text, add_special_tokens=False).ids and c.of_text(text) == len(e.ids(text))
         assert max(e.known.held, c.known.held) <= 20_000 and len(e.known) < 400 > len(c.known)
+
+
+def test_queries_against_sql_side_by_side(spark, data):
+    """All queries that SQL can express, run by several threads of one session at once."""
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+
+    def found(name):
+        df = queries.QUERIES[name](spark, data)
+        return name, sorted(df.columns), sorted(map(str, ([r[x] for x in sorted(df.columns)] for r in df.collect())))
+
+    with ThreadPoolExecutor(3) as pool:
+        for name, columns, got in pool.map(found, queries.ORACLE_SQL):
+            want = c.sql(queries.ORACLE_SQL[name])
+            at = [want.columns.index(x) for x in columns]
+            assert sorted(want.columns) == columns
+            assert got == sorted(map(str, ([r[i] for i in at] for r in want.fetchall()))), name
