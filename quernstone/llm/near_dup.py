@@ -9,14 +9,13 @@ Banding. 32 bands of 4 coordinates: sets of similarity 0.8 share no band with a
 
 Verification. Equal sets are one representative from the start. Then, over the representatives:
 1. each is compared with one centre, the smallest member that it shares the most bands with;
-2. what is then in another component than one of its centres is compared with that centre too, and in bands that hold
-   several components all members are;
-3. what still shares a band with a member of another component is compared pair by pair, in blocks of 256 x 256 inside a
-   band. Two bounds drop pairs there without loss: the smaller set must have 80 of 100 of the larger one's size, and, as
-   1 - similarity is a metric, the similarities to the band's centre may differ by 0.2 at most. Then pairs are dropped whose
-   sketches estimate less than 0.6, or whose finer sketches of 1,024 coordinates, made for these members alone, estimate
-   less than 0.70 (at similarity 0.8 that is over five and over seven standard deviations away). With exact, nothing is
-   dropped by an estimate: all that the two bounds leave is compared.
+2. what is then in another component than one of its centres is compared with that centre too;
+3. members that share a band have its centre in common. Where a centre's members are still in several components, each is
+   written as its difference from the centre: the shingles that one of the two sets has and the other has not. Of two
+   members the differences alone tell the exact distance: what stands in one set only are the shingles that stand in one of
+   the two differences only. So members are compared in blocks without their texts, and a block gives only links that join
+   components. The component that most members are in is not compared with itself. Sizes, and sizes of differences, that
+   leave no room for a link pass over pairs without loss; nothing is dropped by an estimate.
 Each comparison is exact, on the full sets. Pairs inside one component are not compared, as no link of theirs can change it.
 """
 
@@ -34,9 +33,10 @@ from .components import components
 
 COORDINATES, PER_BAND = 128, 4
 BANDS = COORDINATES // PER_BAND
-#: Estimates under which a pair of stage 3 is dropped, by the sketch and by the finer sketch (4 bits a coordinate).
+#: Bounds for estimates by the sketch, and by a finer one (4 bits a coordinate). Stage 3 counts exactly and uses neither.
 LEAST_EQUAL, LEAST_FINE, FINE = 0.6, 0.70, 1024
-BLOCK = 256
+#: Members in a block of stage 3, and shingles of their differences.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -131,40 +131,8 @@ def _sketcher(k: int):
     return sketch
 
 
-def _finer(k: int):
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([x or "" for x in texts], 1 << 18):
-                fine = sketches(shingle_sets(texts[a:b], k), FINE) & 15
-                packed = (fine[:, ::2] * 16 + fine[:, 1::2]).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([x.tobytes() for x in packed], pa.binary())], ["rep", "fine"])
-
-    return sketch
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b), a written table, with the similarity of their sets, and linked: 100 * intersection >= percent * union."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep, near = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
-            at = 0
-            while at < batch.num_rows:
-                to, held = at, 0
-                while to < batch.num_rows and (to == at or held < 1 << 19):
-                    held += len(left[to].as_py()) + len(right[to].as_py())
-                    to += 1
-                x = left[at:to].dictionary_encode()
-                sets_a = shingle_sets(x.dictionary.to_pylist(), k)
-                for i, (p, s) in enumerate(zip(x.indices.to_pylist(), shingle_sets(right[at:to].to_pylist(), k), strict=True)):
-                    both = len(np.intersect1d(sets_a[p], s, assume_unique=True))
-                    union = len(sets_a[p]) + len(s) - both
-                    keep[at + i], near[at + i] = both and 100 * both >= percent * union, both / max(1, union)
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(keep)], ["a", "b", "near", "linked"])
-
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, more columns), a written table, with text_a and text_b."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     # the smaller side of each pair may be a centre with very many partners: join it last, so that its text goes straight
     # into the check and is not exchanged again with each partner, and deal such a centre over several tasks
@@ -173,18 +141,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
     more = side("a").join(hot, "a").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
     centres = side("a").withColumn("salt", F.lit(0)).unionAll(more)
-    return dealt.join(side("b"), "b").join(centres, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, near double, linked boolean")
+    return dealt.join(side("b"), "b").join(centres, ["a", "salt"]).select(*pairs.columns, "text_a", "text_b")
+
 
+def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Consecutive ranges of the batch's rows, with the sets of text_a and text_b of each row."""
+    left, right = batch.column("text_a"), batch.column("text_b")
+    at = 0
+    while at < batch.num_rows:
+        to, held = at, 0
+        while to < batch.num_rows and (to == at or held < 1 << 19):
+            held += len(left[to].as_py()) + len(right[to].as_py())
+            to += 1
+        x = left[at:to].dictionary_encode()
+        sets_a = shingle_sets(x.dictionary.to_pylist(), k)
+        yield at, to, [(sets_a[p], s) for p, s in zip(x.indices.to_pylist(), shingle_sets(right[at:to].to_pylist(), k), strict=True)]
+        at = to
 
-def _blocks(members: DataFrame, sketched: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and may be linked. members: key, band, rep, comp, near (the
-    similarity to the band's centre). exact: no pair is dropped by an estimate."""
-    count = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = looked_up(members, count, ["key"], count.where(F.col("n") > too_many(members.count())), "inner").join(sketched, "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", "rep", "comp", "near", "n_shingles", "bands", "fine", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, b), a written table, with linked: 100 * intersection >= percent * union."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for at, _, sets in _sets_of(batch, k):
+                for i, (x, y) in enumerate(sets, at):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], ["a", "b", "linked"])
+
+    return _with_texts(pairs, texts).mapInArrow(check, "a long, b long, linked boolean")
+
+
+def _apart(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """members (a: the centre, b, comp), a written table, with size, that of b's set, and apart: the shingles that stand in
+    one of the sets of a and b only. base tells the centre's sets apart where several rows have its doc_id."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, sets in _sets_of(batch, k):
+                with np.errstate(over="ignore"):
+                    base = np.array([np.add.reduce(_mix(x)) for x, _ in sets], np.uint64).view(np.int64)
+                only = [np.setxor1d(x, y, assume_unique=True) for x, y in sets]
+                ends = np.cumsum([0, *(len(x) for x in only)], dtype=np.int32)
+                apart = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(only).view(np.int64)))
+                size = pa.array([len(y) for _, y in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[at:to] for c in ("a", "b", "comp")), pa.array(base), size, apart], ["a", "b", "comp", "base", "size", "apart"])
+
+    return _with_texts(members, texts).mapInArrow(differ, "a long, b long, comp long, base long, size long, apart array<long>").where("size > 0")
+
+
+def _joined(left: np.ndarray, right: np.ndarray, comp: np.ndarray, size: np.ndarray, ends: np.ndarray, apart: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between rows of left and rows of right, as many as it takes to join the components that they link. apart: the
+    rows' differences from one set, one after the other, row i's from ends[i] to ends[i + 1]; comp and size by row."""
+    label, n = comp.copy(), np.diff(ends)
+    place = np.unique(apart, return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(n)), n)
+    there = np.zeros(len(n), bool)
+    there[right] = True
+    mine = there[owner]
+    order = np.argsort(place[mine], kind="stable")
+    holders = owner[mine][order]
+    starts = np.searchsorted(place[mine][order], np.arange(place.max(initial=-1) + 2))
+    for x in left:
+        ys = right[label[right] != label[x]]
+        # linked if (100 + percent) * distance <= (100 - percent) * sum of sizes; the distance is at least either difference
+        room = (100 - percent) * (size[ys] + size[x])
+        least = np.maximum(abs(n[ys] - n[x]), abs(size[ys] - size[x]))
+        fits = (100 + percent) * least <= room
+        ys, room = ys[fits], room[fits]
+        if not len(ys):
+            continue
+        shingles = place[ends[x] : ends[x + 1]]
+        low, many = starts[shingles], starts[shingles + 1] - starts[shingles]
+        spots = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+        both = np.bincount(holders[spots], minlength=len(n))[ys]
+        ys = ys[(100 + percent) * (n[ys] + n[x] - 2 * both) <= room]
+        while len(ys):
+            yield x, ys[0]
+            label[label == label[ys[0]]] = label[x]
+            ys = ys[label[ys] != label[x]]
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components which members of one centre are in. members: what _apart gives, a written table."""
+    group = ["a", "base"]
+    of_comp = members.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("apart")).alias("w"))
+    of_comp = of_comp.groupBy(*group).agg(F.max(F.struct("n", "w", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps"))
+    several = F.greatest(F.lit(1), F.ceil(F.col("most.n") / BLOCK), F.ceil(F.col("most.w") / BLOCK_SHINGLES)).cast("int")
+    others = F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("most.n")) / BLOCK), F.ceil((F.col("w") - F.col("most.w")) / BLOCK_SHINGLES)).cast("int")
+    plan = written(of_comp.where("comps > 1").select(*group, F.col("most.comp").alias("main"), several.alias("of_main"), others.alias("of_rest"), "n"))
+    rows = looked_up(members, plan.drop("n"), group, plan.where(F.col("n") > too_many(members.count())).drop("n"), "inner")
+    # blocks of the main component come first, and meet only those of the rest
+    main, turn = F.col("comp") == F.col("main"), F.xxhash64("b")
+    own = F.when(main, F.pmod(turn, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(turn, F.col("of_rest"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)))
+    rows = rows.select(*group, "b", "comp", "size", "apart", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -192,35 +245,24 @@ def _blocks(members: DataFrame, sketched: DataFrame, percent: int, exact: bool)
             rows = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if rows is None or not rows.num_rows:
                 continue
-            key, i, j, rep, comp, own, band, near, size = (rows.column(c).to_numpy() for c in ("key", "i", "j", "rep", "comp", "own", "band", "near", "n_shingles"))
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+            key = np.column_stack([rows.column(c).to_numpy() for c in (*group, "i", "j")])
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
             if batch is not None:  # the last group may go on in the next batch
                 held = rows.slice(edge[-2])
                 edge = edge[:-1]
-            if len(edge) < 2:
-                continue
-            rows = rows.slice(0, edge[-1]).combine_chunks()
-            sig = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            coords = np.ascontiguousarray(sig).view(np.uint16)
-            packed = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(len(sig), -1)
-            high, low = packed >> 4, packed & 15
             out = [np.empty((0, 2), np.int64)]
             for start, end in zip(edge[:-1], edge[1:], strict=True):
-                right = np.arange(start, end)[own[start:end] == j[start]]
-                for x in np.arange(start, end)[own[start:end] == i[start]]:
-                    ys = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i[start] != j[start]))]
-                    ys = ys[(abs(near[ys] - near[x]) <= 1 - percent / 100 + 1e-9) & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
-                    if len(ys) and not exact:
-                        ys = ys[(coords[ys] == coords[x]).mean(axis=1) >= LEAST_EQUAL]
-                        same = ((high[ys] == high[x]).mean(axis=1) + (low[ys] == low[x]).mean(axis=1)) / 2
-                        ys = ys[same >= LEAST_FINE + (1 - LEAST_FINE) / 16]  # one in 16 coordinates agrees by chance
-                    if len(ys):  # a pair is given once, by the first band that it shares
-                        ys = ys[(sig[ys] == sig[x]).argmax(axis=1) == band[x]]
-                        out.append(np.column_stack([np.minimum(rep[ys], rep[x]), np.maximum(rep[ys], rep[x])]))
+                block = rows.slice(start, end - start).combine_chunks()
+                rep, comp, size, own, i, j = (block.column(c).to_numpy() for c in ("b", "comp", "size", "own", "i", "j"))
+                lists = block.column("apart").combine_chunks()
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                left, right = sorted((np.flatnonzero(own == i), np.flatnonzero(own == j)), key=len)
+                found = np.array(list(_joined(left, right, comp, size, ends, lists.flatten().to_numpy(), percent)), np.int64).reshape(-1, 2)
+                out.append(rep[found])
             found = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    groups = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    groups = rows.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
     return groups.mapInArrow(compare, "a long, b long")
 
 
@@ -232,8 +274,8 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that can be reached by links of
-    similarity percent / 100 or more), kept (doc_id = component_id). exact: in the last stage no pair is dropped by an
-    estimate, at the price of more comparisons.
+    similarity percent / 100 or more), kept (doc_id = component_id). exact makes no difference any more: no pair is dropped
+    by an estimate.
 
     Words: runs of bytes other than space and 0x09-0x0D, A-Z lowered. Null, empty or blank texts have no shingles and
     are their own component. Rows that share a doc_id are one node, linked by whatever any of them is linked by, and each
@@ -242,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, exact: bool
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(docs.sparkSession) as kept:
         sketched = kept(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
-        classes = kept(_classes(docs, sketched, k, percent, exact))
+        classes = kept(_classes(docs, sketched, k, percent))
     # the copies of one text, and the rows without words, are joined where they are
     empty = classes.sparkSession.createDataFrame([(0, 0, 0, None)], "n_shingles long, k1 long, k2 long, component_id long")
     hot = classes.where(F.col("n") > too_many(sketched.count())).select(*empty.columns).unionAll(empty)
@@ -251,7 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, exact: bool
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _classes(docs: DataFrame, sketched: DataFrame, k: int, percent: int, exact: bool) -> DataFrame:
+def _classes(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
     """(n_shingles, k1, k2, rep, n, component_id) of each distinct set, which n rows have."""
     known = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(known.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
@@ -261,7 +303,10 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, percent: int, exact:
     crowded = written(crowded.select("key", "centre", "n"))
     hot = crowded.where(F.col("n") > too_many(BANDS * reps.count())).drop("n")
     members = written(looked_up(spread, crowded.drop("n"), ["key"], hot, "inner"))
-    texts = written(semi(docs, written(members.select(F.col("rep").alias("doc_id")).distinct()), "doc_id"))
+    ids = written(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = written(semi(docs.where("text IS NOT NULL"), ids, "doc_id"))
+    if texts.count() > ids.count():  # equal rows of one doc_id would meet each other in every pair
+        texts = written(texts.distinct())
     to_centre = members.where("rep != centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("shared"))
     to_centre = written(to_centre.select(F.col("centre").alias("a"), F.col("rep").alias("b"), "shared"))
     best = to_centre.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
@@ -283,28 +328,22 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, percent: int, exact:
             out = rows.join(found, node, "left")
         return out.withColumn(name, F.coalesce(name, node))
 
-    def also(pairs: DataFrame) -> DataFrame:
-        """Compares pairs, and takes their links in."""
+    def also(more: DataFrame) -> None:
+        """Takes links in."""
         nonlocal links, comp
-        got = written(_verified(written(pairs), texts, k, percent))
-        more = got.where("linked").select("a", "b")
         if more.limit(1).count():
             links = links.unionAll(more)
             comp = components(links)
-        return got
 
     rest = to_centre.select("a", "b").join(compared, ["a", "b"], "left_anti")
-    compared = compared.unionAll(also(placed(placed(rest, "a", "x"), "b", "y").where("x != y").select("a", "b")))
-    spots = placed(members, "rep", "comp")
-    mixed = written(spots.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y"))
-    hot = mixed.where(F.col("n") > too_many(members.count()))
-    spots = written(looked_up(spots, mixed, ["key"], hot, "inner").drop("x", "y", "n"))
-    rest = spots.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    compared = compared.unionAll(also(rest))
-    spots = placed(spots.drop("comp"), "rep", "comp").join(compared.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "near").distinct(), ["centre", "rep"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
-    fine = semi(texts, written(spots.select(F.col("rep").alias("doc_id")).distinct()), "doc_id").mapInArrow(_finer(k), "rep long, fine binary")
-    pairs = _blocks(spots, written(sets.join(written(fine), "rep").distinct()), percent, exact).distinct().join(compared, ["a", "b"], "left_anti")
-    also(pairs)
+    rest = written(placed(placed(rest, "a", "x"), "b", "y").where("x != y").select("a", "b"))
+    also(written(_verified(rest, texts, k, percent).where("linked").select("a", "b")))
+    pairs = to_centre.select("a", "b")
+    spots = placed(pairs.unionAll(pairs.select("a", F.col("a").alias("b")).distinct()), "b", "comp")
+    mixed = written(spots.groupBy("a").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y"))
+    hot = mixed.where(F.col("n") > too_many(to_centre.count()))
+    spots = written(looked_up(spots, mixed, ["a"], hot, "inner").select("a", "b", "comp"))
+    also(written(_blocks(written(_apart(spots, texts, k)), percent).distinct()))
     return placed(reps, "rep", "component_id")
 
 

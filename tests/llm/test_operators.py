@@ -5,7 +5,7 @@ import hashlib
 import json
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
@@ -203,6 +203,91 @@ def test_near_duplicate_sketches_keep_links():
     assert equal - least > 7 * (equal * (1 - equal) / near_dup.FINE) ** 0.5
 
 
+def copies_of_one(n, seed):
+    """Rows of n texts that come from one by up to 16 changed words each, and the component of each by brute force."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        x = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 16)):
+            x[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    sets = [set(map(tuple, zip(w, w[1:], w[2:], w[3:], strict=False))) for w in (t.split() for _, t in rows)]
+    label = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return rows, dict(enumerate(label))
+
+
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Most copies are in one class and many in none. Pairs of texts that are compared follow the group's size, not its square."""
+    compared = []
+    verified = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *more: (compared.append(pairs.count()), verified(pairs, *more))[1])
+    made = []
+    for n in (250, 750):
+        rows, want = copies_of_one(n, 5)
+        compared.clear()
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert n / 4 < Counter(want.values()).most_common(1)[0][1] < 0.9 * n
+        made.append(sum(compared))
+    assert made[1] < 4.5 * made[0]  # three times the copies
+
+
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    rows, want = copies_of_one(250, 6)
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 2000)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_near_duplicate_links_by_differences():
+    """Differences from any set tell the links of all rows: as many as join the components, and none else."""
+    rng = np.random.default_rng(4)
+    base = np.arange(60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 61), replace=False), rng.integers(60, 75, rng.integers(0, 12))])) for _ in range(80)]
+    centre = sets[0]
+    apart = [np.setxor1d(centre, s) for s in sets]
+    ends, comp, size = np.cumsum([0, *map(len, apart)]), np.arange(80) // 2, np.array([len(s) for s in sets])
+    near = lambda x, y: 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))
+
+    def classes(links):
+        label = comp.copy()
+        for x, y in links:
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+        return label.tolist()
+
+    for left, right in ((np.arange(80), np.arange(80)), (np.arange(30), np.arange(30, 80))):
+        got = [(int(x), int(y)) for x, y in near_dup._joined(left, right, comp, size, ends, np.concatenate(apart), 80)]
+        assert got and all(near(x, y) and comp[x] != comp[y] for x, y in got)
+        want = classes([(x, y) for x in left for y in right if near(x, y)])
+        assert classes(got) == want and len(got) == len(set(comp)) - len(set(want))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id with other texts, equal, blank or null: they link what any of them is linked with, and nothing else."""
+    rows, _ = copies_of_one(12, 8)
+    other = " ".join(f"u{i}" for i in range(90))
+    rows += [(3, None), (4, " "), (5, None), (5, ""), (6, other), (6, other), (40, other + " end"), (41, None), (42, "")]
+    sets = [(i, {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := (t or "").split()) else set()) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for i, x in sets:
+        for j, y in sets:
+            if x and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    want = [(i, label[i] if x else i) for i, x in sets]  # a row without words is its own component
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_near_duplicates_leave_one_of_equal_rows(spark, odd):
     more = odd.unionAll(odd.where("doc_id = 5").withColumn("lang", F.lit("de"))).unionAll(odd.where("doc_id IN (2, 4) OR doc_id IS NULL"))
     got = sorted(((r["doc_id"], r["lang"]) for r in near_dup.without_near_duplicates(more).collect()), key=str)
