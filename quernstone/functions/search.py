@@ -6,13 +6,16 @@ import hashlib
 import math
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.numbering import kept
 
@@ -26,27 +29,37 @@ STOP_WORDS = frozenset(
 )
 _digit = re.compile("[0-9]")
 _digits = re.compile(r"([0-9]+)/([0-9]+)|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?")
-_gaps, _drop = re.compile(r"[-_\[\](){}\r\n\t]"), re.compile(r"(?<![0-9])\.|[^A-Za-z0-9_\s.]")
-
+#: Points that do not follow a digit, and white space beyond ASCII.
+_points, _wide = re.compile(r"\.(?<![0-9]\.)"), re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_gaps = b"-_[](){}\t\n\v\f\r\x1c\x1d\x1e\x1f"
+_spaced, _drop = bytes.maketrans(_gaps, b" " * len(_gaps)), bytes(i for i in range(128) if chr(i) not in "abcdefghijklmnopqrstuvwxyz0123456789 ." and i not in _gaps)
 
 #: Digits of the longest number that is read as one; longer runs are no numbers but marks, and stay as they are.
 LONGEST_NUMBER = 15
 
 
-def normalise(text: str | None, decimals: int = 4) -> list[str]:
-    """Words in lower case; fractions and numbers with a fixed number of decimals."""
+@lru_cache(100_000)
+def _number(text: str, decimals: int) -> str:
+    """A number or fraction, as _digits finds it, with a fixed number of decimals."""
+    if max(map(len, re.findall("[0-9]+", text.replace(",", "")))) > LONGEST_NUMBER:
+        return text
+    over, _, under = text.partition("/")
+    if under:
+        return f"{int(over) / int(under):.{decimals}f}" if int(under) else text
+    return f"{float(text.replace(',', '')):.{decimals}f}"
 
-    def number(m: re.Match) -> str:
-        if max(map(len, re.findall("[0-9]+", m[0].replace(",", "")))) > LONGEST_NUMBER:
-            return m[0]
-        if m[1]:
-            return f"{int(m[1]) / int(m[2]):.{decimals}f}" if int(m[2]) else m[0]
-        return f"{float(m[0].replace(',', '')):.{decimals}f}"
 
-    text = (text or "").lower()
+def spaced(text: str | None, decimals: int = 4) -> bytes:
+    """The words of a text between spaces, in lower case and ASCII; fractions and numbers with a fixed number of decimals."""
+    text, drop = (text or "").lower(), _drop + b"."
     if _digit.search(text):
-        text = _digits.sub(number, text)
-    return _drop.sub("", _gaps.sub(" ", text)).split()
+        text, drop = _points.sub("", _digits.sub(lambda m: _number(m[0], decimals), text)), _drop
+    return (text if text.isascii() else _wide.sub(" ", text)).encode("ascii", "ignore").translate(_spaced, drop)
+
+
+def normalise(text: str | None, decimals: int = 4) -> list[str]:
+    """Words in lower case; fractions and numbers with a fixed number of decimals."""
+    return spaced(text, decimals).decode("ascii").split()
 
 
 def _measure(stem: str) -> int:
@@ -164,17 +177,79 @@ def sanitised(term: str) -> str:
     return re.sub("[',]", "", term)
 
 
+#: Characters whose words are grouped at once.
+SLICE = 1 << 20
+
+
 def index(df: DataFrame, key: str, column: str, mode: str = "english") -> DataFrame:
-    """(id, w, places): the places of each token in each row's text. Tokens are made in Arrow batches, then grouped by row."""
+    """(id, w, places): the places of each token in each row's text."""
+    return entries(df, key, [column], mode).select("id", "w", "places")
 
-    @F.pandas_udf("array<struct<w: string, places: array<int>>>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Tokens(mode)
-        for texts in batches:
-            yield texts.map(lambda t: [{"w": w, "places": p} for w, p in places(t, mode, known).items()])
 
-    rows = df.select(F.col(key).alias("id"), F.explode(tokens(F.coalesce(F.col(column).cast("string"), F.lit("")))).alias("t"))
-    return rows.select("id", "t.w", "t.places")
+def entries(df: DataFrame, key: str, columns: list[str], mode: str = "english", raw: bool = False) -> DataFrame:
+    """(id, col, w, places): the places of each token in each row's text in each column, by one pass over Arrow batches. raw:
+    the digest of the whole text too, as a token that no word can be, without places."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens(mode)
+        for batch in batches:
+            for name, column in zip(columns, batch.columns[1:], strict=True):
+                texts = column.to_pylist()
+                for a, b in _slices(texts):
+                    held, ids = texts[a:b], batch.column(0).slice(a, b - a)
+                    yield _rows(ids, name, *grouped(held, known))
+                    if raw and (there := [i for i, t in enumerate(held) if t is not None]):
+                        marks = pa.array([mark(held[i]) for i in there], pa.string())
+                        yield _rows(ids, name, np.array(there), marks, pa.ListArray.from_arrays(pa.array(np.zeros(len(there) + 1), pa.int32()), pa.array([], pa.int32())))
+
+    texts = df.select(F.col(key).alias("id"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)))
+    schema = T.StructType([texts.schema["id"], T.StructField("col", T.StringType()), T.StructField("w", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    return texts.mapInArrow(made, schema)
+
+
+def mark(text: str) -> str:
+    """What stands for a whole text in an index."""
+    return "\0" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and held + len(t or "") > SLICE:
+            yield at, i
+            at, held = i, 0
+        held += len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _rows(ids: pa.Array, name: str, at: np.ndarray, w: pa.Array, places: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.repeat(pa.scalar(name, pa.string()), len(at)), w, places], ["id", "col", "w", "places"])
+
+
+def grouped(texts: list[str | None], known: Tokens) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """For each text and token in it: the text's number, the token, its places. Words are cut, numbered and sorted as
+    arrays; Python sees each distinct word once, and none where words are tokens."""
+    raw = [spaced(t) for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    space = data == 32
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    begin, end = edge[::2], edge[1::2]
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(0, np.cumsum(end - begin)).astype(np.int32)), pa.py_buffer(data[~space])).dictionary_encode()
+    tokens, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    first = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in raw)]))  # of each text's words
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    place = np.arange(len(begin)) - first[text]
+    if known.make is not None:
+        made = pa.array([known[w] for w in tokens.to_pylist()], pa.string()).dictionary_encode()
+        tokens, code = made.dictionary, made.indices.to_numpy().astype(np.int64)[code]
+        some = np.array([t != "" for t in tokens.to_pylist()], bool)[code]
+        text, place, code = text[some], place[some], code[some]
+    both = text * max(1, len(tokens)) + code
+    order = np.argsort(both, kind="stable")  # places of a token stay in order
+    groups = np.flatnonzero(np.diff(both[order], prepend=-1))
+    at = order[groups]
+    return text[at], tokens.take(pa.array(code[at])), pa.ListArray.from_arrays(pa.array(np.append(groups, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
 
 
 def places(text: str | None, mode: str, known: Tokens, only: frozenset[str] | None = None) -> dict[str, list[int]]:
@@ -254,36 +329,41 @@ def search(df: DataFrame, key: str, column: str, terms: list[str], mode: str = "
 
 @dataclass
 class SearchIndex:
-    """A stored index (id, col, w, places) of the text columns of a table, kept up with its changes by the rows that changed."""
+    """A stored index (id, col, w, places) of the text columns of a table, kept up with its changes by the rows that changed. What
+    is stored is not written again: a change adds the ids whose former entries no longer hold, and the rows' new entries."""
 
     frame: DataFrame
     key: str
     columns: list[str]
     mode: str
+    changes: tuple[tuple[DataFrame, DataFrame | None], ...] = ()
 
-    @staticmethod
-    def built(df: DataFrame, key: str, columns: list[str], mode: str = "english") -> SearchIndex:
-        return SearchIndex(kept(SearchIndex._of(df, key, columns, mode)), key, columns, mode)
+    #: Changes that are read side by side; one more, and they become one.
+    MOST = 8
 
     @staticmethod
-    def _of(df: DataFrame, key: str, columns: list[str], mode: str) -> DataFrame:
-        # the raw text stands beside the tokens, under no token, for terms that are the whole text
-        raw = [df.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.lit(c).alias("col"), F.concat(F.lit("\0"), F.sha2(F.col(c).cast("string"), 256)).alias("w"), F.array().cast("array<int>").alias("places")) for c in columns]
-        return reduce(DataFrame.unionAll, [index(df, key, c, mode).select("id", F.lit(c).alias("col"), "w", "places") for c in columns] + raw)
-
-    def changed(self, rows: DataFrame, gone: bool = False) -> SearchIndex:
-        """The index after rows have been written, or deleted (gone): only their tokens are made anew."""
-        ids = rows.select(F.col(self.key).alias("id")).distinct()
-        old = self.frame.join(ids, "id", "left_anti")
-        return SearchIndex(kept(old if gone else old.unionAll(self._of(rows, self.key, self.columns, self.mode))), self.key, self.columns, self.mode)
+    def built(df: DataFrame, key: str, columns: list[str], mode: str = "english") -> SearchIndex:
+        return SearchIndex(kept(entries(df, key, columns, mode, raw=True)), key, columns, mode)
+
+    def changed(self, rows: DataFrame, gone: bool = False, keys: DataFrame | None = None) -> SearchIndex:
+        """The index after rows have been written, or deleted (gone): only their tokens are made anew. keys: a table with the
+        keys of the rows, if it is simpler than they are."""
+        ids = kept((rows if keys is None else keys).select(F.col(self.key).alias("id")))
+        changes = (*self.changes, (ids, None if gone else kept(entries(rows, self.key, self.columns, self.mode, raw=True))))
+        if len(changes) > self.MOST:
+            every = reduce(DataFrame.unionAll, [ids for ids, _ in changes]).distinct()
+            made = _holding(list(enumerate(changes, 1)), lambda df: df)
+            changes = ((kept(every), made and kept(made)),)
+        return SearchIndex(self.frame, self.key, self.columns, self.mode, changes)
 
     def search(self, terms: list[str], op: str = "=", value: float = 0, column: str = "*") -> DataFrame:
         """(id, score) of the rows that meet any term (op value) in the column, or with * in any. The index is read once, for the terms'
         tokens alone; only their places meet, by row."""
         wanted = [(t, tokenize(t, self.mode)) for t in terms]
-        marks = {"\0" + hashlib.sha256(t.encode()).hexdigest(): t for t in terms}
-        rows = self.frame.where(F.col("w").isin([*{w for _, ws in wanted for w, _ in ws}, *marks]))
-        rows = rows if column == "*" else rows.where(F.col("col") == column)
+        marks = {mark(t): t for t in terms}
+        some = F.col("w").isin([*{w for _, ws in wanted for w, _ in ws}, *marks])
+        some = some if column == "*" else some & (F.col("col") == column)
+        rows = _holding([(0, (None, self.frame)), *enumerate(self.changes, 1)], lambda df: df.where(some))
 
         @F.pandas_udf("int")
         def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -298,3 +378,14 @@ class SearchIndex:
 
         met = rows.groupBy("id", "col").agg(F.collect_list(F.struct("w", "places")).alias("t")).select("id", best("t").alias("score"))
         return met.where("score IS NOT NULL").groupBy("id").agg(F.min("score").alias("score"))
+
+
+def _holding(changes: list[tuple[int, tuple[DataFrame | None, DataFrame | None]]], some: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The entries that no later change has replaced, of those that `some` takes from each; None where there are none at all."""
+    made = [some(df).withColumn("_at", F.lit(i)) for i, (_, df) in changes if df is not None]
+    gone = [ids.withColumn("_gone", F.lit(i)) for i, (ids, _) in changes if ids is not None]
+    if not made or not gone:
+        return made[0].drop("_at") if made else None
+    last = reduce(DataFrame.unionAll, gone).groupBy("id").agg(F.max("_gone").alias("_gone"))
+    found = reduce(DataFrame.unionAll, made).join(last, "id", "left").where("_gone IS NULL OR _gone <= _at")
+    return found.select("id", "col", "w", "places")

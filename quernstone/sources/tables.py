@@ -349,10 +349,12 @@ class Database:
             if props.get("unique"):
                 self._check_unique(t, flat, key.partition(":")[0], bool(props.get("ignore_case")))
         frozen = {k.partition(":")[0] for k, v in t.model.items() if v.get("immutable")}
-        both = t.df.alias("_row").join(new.withColumn("_new", F.lit(True)).alias("_patch"), F.col(f"_row.{quoted(t.pk)}") == F.col(f"_patch.{quoted(t.pk)}"), "full")
+        before = t.df
+        mine, patches = before.alias("_row"), new.withColumn("_new", F.lit(True)).alias("_patch")
+        both = lambda how: mine.join(patches, F.col(f"_row.{quoted(t.pk)}") == F.col(f"_patch.{quoted(t.pk)}"), how).select(*(merged(c).alias(c) for c in columns))
 
         def merged(c: str) -> Column:
-            old = F.col(f"_row.{quoted(c)}") if c in t.df.columns else F.lit(None)
+            old = F.col(f"_row.{quoted(c)}") if c in before.columns else F.lit(None)
             if c == t.pk:
                 return F.coalesce(old, F.col(f"_patch.{quoted(c)}"))
             if c not in columns_new:
@@ -365,14 +367,15 @@ class Database:
             here = F.col("_patch._new").isNotNull() if has_ is None else sure(F.array_contains(F.col(f"_patch.{has_}"), c)) | F.col(f"_row.{quoted(t.pk)}").isNull()
             return F.when(here, patch).otherwise(old)
 
-        columns = list(dict.fromkeys([*t.df.columns, *columns_new]))
-        before = t.df
-        self._set(t, self._through("updateRow", both.select(*(merged(c).alias(c) for c in columns)), name))
+        columns = list(dict.fromkeys([*before.columns, *columns_new]))
+        self._set(t, self._through("updateRow", both("full"), name))
         if ttl is not None:
             until = F.current_timestamp() + F.make_dt_interval(secs=F.lit(float(ttl)))
             cols = F.array(*map(F.lit, ttl_columns)) if ttl_columns else F.lit(None).cast("array<string>")
             self._live(t, kept(flat.select(F.col(quoted(t.pk)).alias("key"), until.alias("until"), cols.alias("cols"))))
-        self._changed(name, "upsert", flat, before)
+        # the rows written, without all others: not where a hook has a say, nor where the table has just been written out
+        short = t.search is not None and t.changes and not self.filters.get("updateRow")
+        self._changed(name, "upsert", flat, before, both("right").where(F.col(quoted(t.pk)).isNotNull()) if short else None)
         return flat
 
     def _conformed_with(self, name: str, rows: DataFrame, more: list[str]) -> DataFrame:
@@ -516,14 +519,16 @@ class Database:
                 if fk and fk["target"].partition(".")[0] == name:
                     yield t.name, fk | {"column": key.partition(":")[0]}
 
-    def _changed(self, name: str, what: str, rows: DataFrame, before: DataFrame | None = None) -> None:
+    def _changed(self, name: str, what: str, rows: DataFrame, before: DataFrame | None = None, written: DataFrame | None = None) -> None:
+        """written: the table's rows of the keys of `rows` as they are now, if there is a shorter way to them than through all rows."""
         t = self.tables[name]
         events = [lambda f=f: f(name, what, rows) for f in self.changes]
         if self.listeners:
             old = rows if before is None else before.join(rows.select(t.pk), t.pk, "left_semi")
             events.append(lambda: self.fire(what, name, key=t.pk, result=rows, old=old))
         if t.search is not None:
-            t.search = t.search.changed(rows if what == "delete" else t.df.join(rows.select(t.pk), t.pk, "left_semi"), gone=what == "delete")
+            now = written if written is not None else t.df.join(rows.select(t.pk), t.pk, "left_semi")
+            t.search = t.search.changed(rows, gone=True) if what == "delete" else t.search.changed(now, keys=rows)
         for table, path, f in self.path_changes:
             if table == name and before is not None:
                 events.append(lambda f=f, changed=_changed_at(before, t.df, t.pk, path): f(changed))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +198,44 @@ def test_search_in_conditions(spark):
     assert found(["quick brown"]) == [(3, 0), (6, 0)] and found(["quick brown"], "<=", 1) == [(2, 1), (3, 0), (6, 0)] and found(["SLOW", "slow"]) == [(5, 0)]
 
 
+def test_tokens_of_many_texts_are_those_of_each():
+    gaps, drop = re.compile(r"[-_\[\](){}\r\n\t]"), re.compile(r"(?<![0-9])\.|[^A-Za-z0-9_\s.]")
+    rnd = random.Random(3)
+    signs = "abeZ19 .,/-_[](){}\r\n\t\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff\u00c9\u00df\u03a3\u0130\0!'"
+    texts = ["".join(rnd.choices([*signs, "the ", "quick ", "1/2", "1,000.5", "12."], k=rnd.randrange(30))) for _ in range(3000)] + ["", None, " . ", "a" * 5000]
+    for t in texts:
+        low = (t or "").lower()
+        assert S.normalise(t) == drop.sub("", gaps.sub(" ", S._digits.sub(lambda m: S._number(m[0], 4), low))).split()
+    for mode in ("words", "english", "english-stem", "english-meta"):
+        known = S.Tokens(mode)
+        text, w, places = S.grouped(texts, known)
+        got = sorted(zip(text.tolist(), w.to_pylist(), places.to_pylist(), strict=True))
+        assert got == sorted((i, w, p) for i, t in enumerate(texts) for w, p in S.places(t, mode, known).items())
+        assert len(S.grouped([None, "..."], known)[0]) == 0
+
+
+def test_changes_leave_a_stored_index_as_it_is(spark):
+    d = Database(spark)
+    words = ["quick", "brown", "fox", "the", "slow", None]
+    rnd = random.Random(5)
+    row = lambda k: {"id": k, "s": " ".join(filter(None, rnd.choices(words, k=4))), "t": rnd.choice(words)}
+    d.attach("t", spark.createDataFrame([row(f"k{i}") for i in range(40)], "id string, s string, t string"))
+    d.tables["t"].indexes = {"s:string": {"search": {"tokenizer": "words"}}, "t:string": {"search": True}}
+    frame, most = d.rebuild_search("t").frame, S.SearchIndex.MOST
+    for i in range(most + 3):
+        if i % 3 == 2:
+            d.delete("t", ["id", "IN", [f"k{i}", f"k{i + 20}"]])
+        else:  # new rows, patches of all columns, of one, and by null
+            d.upsert("t", [row(f"k{i}"), row(f"n{i}"), {"id": f"k{i + 1}", "t": "quick brown"}, {"id": f"k{i + 2}", "s": None}])
+    for c in ("u", "v"):  # columns that were not there
+        d.upsert("t", [{"id": f"k{i}", c: "new", "s": "quick brown"} for i in (5, 6)])
+    assert d.tables["t"].search.frame is frame and len(d.tables["t"].search.changes) <= most
+    anew = S.SearchIndex.built(d.rows("t"), "id", ["s", "t"], "words")
+    for op, n in (("=", 0), ("<=", 1), (">", 0)):
+        got, want = (sorted(map(tuple, x.search(["quick brown", "slow"], op, n).collect())) for x in (d.tables["t"].search, anew))
+        assert got == want and got
+
+
 def test_upserts_patch_in_order_and_by_null(spark):
     d = Database(spark)
     d.attach("t", spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, s string, x double"))
